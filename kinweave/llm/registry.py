@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from kinweave.llm import exact_dedup, mixing, sharding
+from kinweave.llm import embedding_neardup, exact_dedup, language_id, mixing, ppm, sharding
 from kinweave.llm.common import read_table
 
 
+def op1_ppm(spark, sf_dir):
+    return ppm.score_query(read_table(spark, sf_dir, "documents"))
+
+
+def op2_language_id(spark, sf_dir):
+    return language_id.identify(read_table(spark, sf_dir, "documents"))
+
+
+def op3_embedding_neardup(spark, sf_dir):
+    return embedding_neardup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.dedup_query(read_table(spark, sf_dir, "documents"))
 
@@ -19,7 +31,7 @@ def op10_sharding(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_exact_dedup, op7_mixing, op10_sharding)}
+    return {f.__name__: f for f in (op1_ppm, op2_language_id, op3_embedding_neardup, op6_exact_dedup, op7_mixing, op10_sharding)}
 
 
 def oracle_sql() -> dict:
