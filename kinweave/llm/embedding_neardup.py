@@ -146,6 +146,10 @@ def compare_stripes(table: pa.Table, axes: np.ndarray, threshold: float) -> pa.T
     return pa.table({"row": row[has], "n_links": links[has], "joined": row[own[has]]})
 
 
+def stripe_task(axes: np.ndarray, threshold: float):
+    return lambda table: compare_stripes(table, axes, threshold)
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept."""
     good = materialise(usable(vectors), "vectors")
@@ -167,8 +171,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
         dealt = span.withColumn("_t", F.explode(F.sequence(F.col("_p")[0], F.col("_p")[1]))).select(
             F.least("stripe", "_t").alias("one"), F.greatest("stripe", "_t").alias("two"), "stripe", "row", "v"
         )
-        task = lambda t, axes=axes: compare_stripes(t, axes, threshold)
-        linked = dealt.groupBy("one", "two").applyInArrow(task, "row long, n_links long, joined long")
+        linked = dealt.groupBy("one", "two").applyInArrow(stripe_task(axes, threshold), "row long, n_links long, joined long")
         linked = materialise(linked, "links")
         names = placed.select("row", "vec_id")
         counts = linked.groupBy("row").agg(F.sum("n_links").alias("n_links")).join(names, "row").select("vec_id", "n_links")
