@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinweave.llm import embedding_neardup, exact_dedup, language_id, mixing, ppm, sharding
+from kinweave.llm import embedding_neardup, exact_dedup, language_id, mixing, ngram_join, ppm, sharding
 from kinweave.llm.common import read_table
 
 
@@ -18,6 +18,10 @@ def op3_embedding_neardup(spark, sf_dir):
     return embedding_neardup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
+def op5_ngram_join(spark, sf_dir):
+    return ngram_join.join(read_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.dedup_query(read_table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op10_sharding(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ppm, op2_language_id, op3_embedding_neardup, op6_exact_dedup, op7_mixing, op10_sharding)}
+    return {f.__name__: f for f in (op1_ppm, op2_language_id, op3_embedding_neardup, op5_ngram_join, op6_exact_dedup, op7_mixing, op10_sharding)}
 
 
 def oracle_sql() -> dict:
