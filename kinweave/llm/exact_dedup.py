@@ -23,6 +23,8 @@ from kinweave.llm.common import ascii_lower, materialise, shared_path
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # many small stores: without this each one claims megabytes of disk before it holds anything
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
