@@ -41,7 +41,9 @@ MAX_WORDS = 1 << 20
 START, END = 0xFF, 0xFE
 #: Byte values that can be coded: all but START.
 SYMBOLS = 255
-FLUSH = 6_000_000
+#: Entries a task merges at a time, and bytes of text it codes at a time: two workers share an executor.
+FLUSH = 2_000_000
+CHUNK = 1 << 20
 GRAM, WORD, TEXT = 0, 1, 2
 
 
@@ -112,7 +114,7 @@ def count_corpus(training: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, words, texts = Tally(GRAM), Tally(WORD), 0
         for b in batches:
-            for lo, hi, data, off in K.chunks(b.column(0)):
+            for lo, hi, data, off in K.chunks(b.column(0), CHUNK):
                 data = K.LOWER[data]
                 yield from grams.add(packed(data, off)[0])
                 start, end, _ = K.words(data, off)
@@ -139,23 +141,21 @@ def frequent(counts: DataFrame, kind: int, limit: int) -> tuple[pa.Table, int]:
 
 
 class Lookup:
-    """Open-addressing table from 64-bit keys to rows, probed for whole arrays at once."""
+    """Open-addressing table from distinct 64-bit keys to their rows, probed for whole arrays at once; holds rows only."""
 
     def __init__(self, keys: np.ndarray):
         bits = max(4, (2 * max(len(keys), 1) - 1).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.keys = keys if len(keys) else np.zeros(1, np.uint64)
         self.row = np.full(1 << bits, -1, np.int32)
-        self.key = np.zeros(1 << bits, np.uint64)
-        todo, slot = np.arange(len(keys)), self._slot(keys)
+        todo, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
         while len(todo):
             free = self.row[slot] < 0
             s, t = slot[free], todo[free]
             self.row[s] = t
-            won = self.row[s] == t
-            self.key[s[won]] = keys[t[won]]
-            left = np.concatenate((todo[~free], t[~won]))
-            slot = (np.concatenate((slot[~free], s[~won])) + 1) & self.mask
-            todo = left
+            lost = self.row[s] != t
+            todo = np.concatenate((todo[~free], t[lost]))
+            slot = (np.concatenate((slot[~free], s[lost])) + 1) & self.mask
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -164,12 +164,12 @@ class Lookup:
         """Row of each key, -1 where there is none."""
         slot = self._slot(keys)
         row = self.row[slot]
-        other = np.flatnonzero((row >= 0) & (self.key[slot] != keys))
+        other = np.flatnonzero((row >= 0) & (self.keys[row] != keys))
         while len(other):
             at = (slot[other] + 1) & self.mask
             slot[other] = at
             row[other] = self.row[at]
-            other = other[(row[other] >= 0) & (self.key[at] != keys[other])]
+            other = other[(row[other] >= 0) & (self.keys[row[other]] != keys[other])]
         return row
 
 
@@ -178,26 +178,24 @@ class Trie:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int = ORDER):
         self.order = order
-        self.grams, self.contexts = {}, {}
+        self.grams, self.contexts, first_of = {}, {}, {}
         for m in range(order, -1, -1):
             mask = np.uint64((1 << 8 * (m + 1)) - 1)
-            keys, counts = tally(keys & mask, counts.astype(np.int64))
+            keys, counts = tally(keys & mask, counts)
             context = keys >> np.uint64(8)
             first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(keys) else np.zeros(0, np.int64)
             total = np.add.reduceat(counts, first) if len(first) else np.zeros(0, np.int64)
-            self.grams[m] = (Lookup(keys), counts, keys)
-            self.contexts[m] = (Lookup(context[first]), total, np.diff(np.append(first, len(keys))), first)
+            self.grams[m] = (Lookup(keys), counts)
+            self.contexts[m] = (Lookup(context[first]), total, np.diff(np.append(first, len(keys))))
+            first_of[m] = first
         self.covered = {}  # what a context's symbols weigh in the next shorter one
         for m in range(order, 0, -1):
-            keys, (_, _, _, first) = self.grams[m][2], self.contexts[m]
+            keys, first = self.grams[m][0].keys, first_of[m]
             row = self.grams[m - 1][0].find(keys & np.uint64((1 << 8 * m) - 1))
             self.covered[m] = np.add.reduceat(self.grams[m - 1][1][row], first) if len(first) else np.zeros(0, np.int64)
-        _, counts, keys = self.grams[order]
-        self.seen = np.zeros(len(keys))
-        if len(keys):
-            _, total, distinct, first = self.contexts[order]
-            size = np.diff(np.append(first, len(keys)))
-            self.seen = np.log10(counts / np.repeat(total + distinct, size))
+        counts = self.grams[order][1]
+        _, total, distinct = self.contexts[order]
+        self.seen = np.log10(counts / np.repeat(total + distinct, distinct))
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         row = self.grams[self.order][0].find(keys)
@@ -214,7 +212,7 @@ class Trie:
         weigh, known = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)  # excluded so far
         for m in range(self.order, -1, -1):
             key = keys & np.uint64((1 << 8 * (m + 1)) - 1)
-            where, total, distinct, _ = self.contexts[m]
+            where, total, distinct = self.contexts[m]
             at = where.find(key >> np.uint64(8))
             here = todo & (at >= 0)
             if not here.any():
@@ -265,7 +263,7 @@ def score(documents: DataFrame, training: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, table, logs = _load(name, shared)
         for b in batches:
-            for lo, hi, data, off in K.chunks(b.column(2)):
+            for lo, hi, data, off in K.chunks(b.column(2), CHUNK):
                 data = K.LOWER[data]
                 keys, bounds = packed(data, off)
                 run_sum = np.concatenate(([0.0], np.cumsum(trie.log10(keys))))
