@@ -28,12 +28,15 @@ STATE = {
 }
 
 
-def with_locator(df: DataFrame) -> DataFrame:
-    """Adds _file and _at; a table that no files stand behind is written first."""
+def with_locator(df: DataFrame, written: bool = False) -> DataFrame:
+    """Adds _kw_file and _kw_at; a table that no files stand behind is written first."""
     try:
-        return df.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.col("_metadata.row_index")})
+        place = df.metadataColumn("_metadata")
+        return df.withColumns({"_kw_file": place["file_path"], "_kw_at": place["row_index"]})
     except AnalysisException:
-        return with_locator(materialise(df, "located"))
+        if written:
+            raise
+        return with_locator(materialise(df, "located"), written=True)
 
 
 def normalised(text: str = "text"):
@@ -41,7 +44,7 @@ def normalised(text: str = "text"):
 
 
 def digest_records(located: DataFrame, key_digits: int) -> DataFrame:
-    text = located.select("doc_id", "_file", "_at", normalised().alias("_norm"))
+    text = located.select("doc_id", "_kw_file", "_kw_at", normalised().alias("_norm"))
     sha = text.withColumn("sha", F.sha2(F.col("_norm").cast("binary"), 256)).withColumn("n_bytes", F.octet_length("_norm"))
     return sha.withColumn("key", F.substring("sha", 1, key_digits)).drop("_norm")
 
@@ -58,7 +61,7 @@ def stream_state(records: DataFrame, files_per_batch: int) -> DataFrame:
     before = {k: spark.conf.get(k, None) for k in STATE}
     schema = records.schema
     grouped = lambda df: df.groupBy("key", "n_bytes").agg(
-        F.max(F.struct("doc_id", "_file", "_at")).alias("keep"), F.count(F.lit(1)).alias("n")
+        F.max(F.struct("doc_id", "_kw_file", "_kw_at")).alias("keep"), F.count(F.lit(1)).alias("n")
     )
     empty = grouped(records).schema
     if source:
@@ -86,29 +89,29 @@ def stream_state(records: DataFrame, files_per_batch: int) -> DataFrame:
 
 
 def deduplicate(documents: DataFrame, key_digits: int = 64, files_per_batch: int = 1024) -> DataFrame:
-    """One row per input row: doc_id, _file, _at, text_sha256, keep_id, group_size, kept."""
+    """One row per input row: doc_id, _kw_file, _kw_at, text_sha256, keep_id, group_size, kept."""
     located = with_locator(documents)
     records = materialise(digest_records(located, key_digits), "digests")
     state = materialise(stream_state(records, files_per_batch), "groups")
     known = records.join(state, ["key", "n_bytes"])
     # The full bytes of every hit, fetched by locator; equal exactly if the smallest is the largest.
-    hits = known.filter("n > 1").select("key", "n_bytes", "doc_id", F.col("_file").alias("_f"), F.col("_at").alias("_a"))
-    texts = located.select("_file", "_at", normalised().alias("_norm"))
-    fetched = texts.join(hits, (F.col("_file") == F.col("_f")) & (F.col("_at") == F.col("_a"))).drop("_f", "_a")
+    hits = known.filter("n > 1").select("key", "n_bytes", "doc_id", F.col("_kw_file").alias("_f"), F.col("_kw_at").alias("_a"))
+    texts = located.select("_kw_file", "_kw_at", normalised().alias("_norm"))
+    fetched = texts.join(hits, (F.col("_kw_file") == F.col("_f")) & (F.col("_kw_at") == F.col("_a"))).drop("_f", "_a")
     spread = fetched.groupBy("key", "n_bytes").agg(F.min("_norm").alias("lo"), F.max("_norm").alias("hi"))
     broken = materialise(spread.filter("lo <> hi").select("key", "n_bytes"), "collisions")
     if broken.limit(1).count():
         apart = fetched.join(broken, ["key", "n_bytes"], "left_semi")
         groups = apart.groupBy("key", "n_bytes", "_norm").agg(
-            F.max(F.struct("doc_id", "_file", "_at")).alias("keep"), F.count(F.lit(1)).alias("n")
+            F.max(F.struct("doc_id", "_kw_file", "_kw_at")).alias("keep"), F.count(F.lit(1)).alias("n")
         )
-        split = apart.join(groups, ["key", "n_bytes", "_norm"]).select("_file", "_at", "keep", "n")
+        split = apart.join(groups, ["key", "n_bytes", "_norm"]).select("_kw_file", "_kw_at", "keep", "n")
         whole = known.join(broken, ["key", "n_bytes"], "left_anti")
-        redone = known.drop("keep", "n").join(split, ["_file", "_at"])
+        redone = known.drop("keep", "n").join(split, ["_kw_file", "_kw_at"])
         known = whole.unionByName(redone)
-    kept = (F.col("keep._file") == F.col("_file")) & (F.col("keep._at") == F.col("_at"))
+    kept = (F.col("keep._kw_file") == F.col("_kw_file")) & (F.col("keep._kw_at") == F.col("_kw_at"))
     return known.select(
-        "doc_id", "_file", "_at", F.col("sha").alias("text_sha256"), F.col("keep.doc_id").alias("keep_id"),
+        "doc_id", "_kw_file", "_kw_at", F.col("sha").alias("text_sha256"), F.col("keep.doc_id").alias("keep_id"),
         F.col("n").alias("group_size"), kept.alias("kept"),
     )
 
@@ -120,8 +123,8 @@ def dedup_query(documents: DataFrame) -> DataFrame:
 def keep_documents(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` that stay, with their columns."""
     located = with_locator(documents)
-    stay = deduplicate(documents).filter("kept").select("_file", "_at")
-    return located.join(stay, ["_file", "_at"], "left_semi").select(*documents.columns)
+    stay = deduplicate(documents).filter("kept").select("_kw_file", "_kw_at")
+    return located.join(stay, ["_kw_file", "_kw_at"], "left_semi").select(*documents.columns)
 
 
 DEDUP_SQL = """

@@ -128,23 +128,23 @@ class Model:
         return [self.langs[b] if s else "und" for b, s in zip(best, lettered, strict=True)], np.where(lettered, share, 0.0)
 
 
-def predict(documents: DataFrame, model: DataFrame, carry: list[str]) -> DataFrame:
-    """``carry`` columns of every row, with lang_pred and score."""
+def predict(documents: DataFrame, model: DataFrame, carry: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``carry`` columns of every row, with the predicted language and its score under the given names."""
     rows = model.toArrow()  # bounded by the model's size limits
     shared = documents.sparkSession.sparkContext.broadcast(rows)
     fields = [documents.schema[c] for c in carry]
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = Model(shared.value)
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                lang, score = fitted.texts(part.column(part.schema.get_field_index("_text")))
+                lang, score = fitted.texts(part.column(len(carry)))
                 cols = [part.column(i) for i in range(len(carry))]
-                yield pa.record_batch([*cols, pa.array(lang, pa.string()), pa.array(score)], names=[*carry, "lang_pred", "score"])
+                yield pa.record_batch([*cols, pa.array(lang, pa.string()), pa.array(score)], names=[*carry, *names])
 
-    return documents.select(*carry, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return documents.select(*carry, F.col("text").alias("_kw_text")).mapInArrow(run, schema)
 
 
 def identify(documents: DataFrame) -> DataFrame:
@@ -157,5 +157,5 @@ def identify(documents: DataFrame) -> DataFrame:
 def keep_documents(documents: DataFrame, least_score: float = 0.4) -> DataFrame:
     """The rows whose language can be told: ``und`` and scores under ``least_score`` go."""
     model = fit(documents.filter(~held_out()).select("doc_id", "lang", "text"))
-    told = predict(documents, model, documents.columns)
-    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select(*documents.columns)
+    told = predict(documents, model, documents.columns, ("_kw_lang", "_kw_score"))
+    return told.filter((F.col("_kw_lang") != "und") & (F.col("_kw_score") >= least_score)).select(*documents.columns)

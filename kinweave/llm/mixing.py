@@ -32,17 +32,17 @@ def _hash(seed: int, salt: str, *parts, digits: int):
 
 
 def rates(df: DataFrame, source: str, weights: Mapping[str, float] | None, alpha: float, growth: float) -> DataFrame:
-    """(_source, rate) of every source: the target share of ``growth * N`` rows over the rows there are."""
-    sizes = df.groupBy(F.col(source).alias("_source")).agg(F.count(F.lit(1)).alias("_n"))
+    """(_kw_source, _kw_rate) of every source: the target share of ``growth * N`` rows over the rows there are."""
+    sizes = df.groupBy(F.col(source).alias("_kw_source")).agg(F.count(F.lit(1)).alias("_n"))
     if weights is None:
         weighed = sizes.withColumn("_w", F.pow(F.col("_n").cast("double"), F.lit(float(alpha))))
     else:
         pairs = [x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]
-        given = F.create_map(*pairs)[F.col("_source")] if pairs else F.lit(None).cast("double")
+        given = F.create_map(*pairs)[F.col("_kw_source")] if pairs else F.lit(None).cast("double")
         weighed = sizes.withColumn("_w", F.coalesce(given, F.lit(0.0)))
     total = weighed.agg(F.sum("_n").alias("n"), F.sum("_w").alias("w"), F.count(F.lit(1)).alias("k")).first()
     scale = growth * (total["n"] or 0) / (total["w"] or 1.0)
-    out = weighed.select("_source", (F.col("_w") * F.lit(scale) / F.col("_n")).alias("rate"))
+    out = weighed.select("_kw_source", (F.col("_w") * F.lit(scale) / F.col("_n")).alias("_kw_rate"))
     return F.broadcast(out) if total["k"] <= BROADCAST_SOURCES else out
 
 
@@ -69,12 +69,13 @@ def mix(
     seed: int = 7,
 ) -> DataFrame:
     """Every copy drawn, in the shuffled order, with columns copy_no, n_copies, rate and shuffle_key added."""
-    drawn = df.join(rates(df, source, weights, alpha, growth), F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
-    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART_RATE)).cast("int")
-    drawn = drawn.withColumn("_parts", parts).withColumn("_part_rate", F.col("rate") / F.col("_parts"))
+    drawn = df.join(rates(df, source, weights, alpha, growth), F.col(source).eqNullSafe(F.col("_kw_source"))).drop("_kw_source")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("_kw_rate") / PART_RATE)).cast("int")
+    drawn = drawn.withColumn("rate", F.col("_kw_rate")).withColumn("_kw_parts", parts).drop("_kw_rate")
+    drawn = drawn.withColumn("_kw_part_rate", F.col("rate") / F.col("_kw_parts"))
     uniform = lambda j: (_hash(seed, "u", F.col(key), j, digits=13) + F.lit(0.5)) / F.lit(float(1 << 52))
-    counts = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda j: poisson(uniform(j), F.col("_part_rate")))
-    drawn = drawn.withColumn("n_copies", F.aggregate(counts, F.lit(0), lambda a, x: a + x)).drop("_parts", "_part_rate")
+    counts = F.transform(F.sequence(F.lit(1), F.col("_kw_parts")), lambda j: poisson(uniform(j), F.col("_kw_part_rate")))
+    drawn = drawn.withColumn("n_copies", F.aggregate(counts, F.lit(0), lambda a, x: a + x)).drop("_kw_parts", "_kw_part_rate")
     copies = drawn.filter(F.col("n_copies") > 0).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     keyed = copies.withColumn("shuffle_key", _hash(seed, "s", F.col(key), F.col("copy_no"), digits=15))
     return keyed.orderBy("shuffle_key", key, "copy_no")

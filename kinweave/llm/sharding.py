@@ -60,12 +60,16 @@ def walks_needed(spark: SparkSession, n: int, seed: int, backward: bool = False)
 
     Only the fewer than ``2 * sqrt(n) + 2`` numbers outside are followed, and each
     step leaves about one in sqrt(n) of them, so this ends after a step or two.
+    What no longer shrinks are cycles that lie outside as a whole: no row enters them.
     """
     a, b = domain(n)
-    outside, steps = spark.range(n, a * b), 0
-    while outside.limit(1).count():
-        steps += 1
+    outside, steps, left = spark.range(n, a * b), 0, a * b - n
+    while left:
         outside = outside.select(feistel(F.col("id"), n, seed, backward).alias("id")).filter(F.col("id") >= n)
+        before, left = left, outside.count()
+        if left == before:
+            break
+        steps += 1
     return steps
 
 
