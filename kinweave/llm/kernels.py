@@ -45,7 +45,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """``base ** [0..n)`` modulo 2**64, kept between calls."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        p = np.full(max(n, CHUNK_BYTES + 1), base, dtype=np.uint64)
+        p = np.full(1 << max(n, 2).bit_length(), base, dtype=np.uint64)
         p[0] = 1
         have = _powers[base] = np.multiply.accumulate(p)
     return have[:n]

@@ -43,7 +43,7 @@ START, END = 0xFF, 0xFE
 SYMBOLS = 255
 #: Entries a task merges at a time, and bytes of text it codes at a time: two workers share an executor.
 FLUSH = 2_000_000
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 GRAM, WORD, TEXT = 0, 1, 2
 
 
@@ -128,8 +128,8 @@ def count_corpus(training: DataFrame) -> DataFrame:
     return materialise(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
 
 
-def frequent(counts: DataFrame, kind: int, limit: int) -> tuple[pa.Table, int]:
-    """The keys of a kind with the largest counts, ``limit`` at most, and the least count among them."""
+def frequent(counts: DataFrame, kind: int, limit: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The keys of a kind with the largest counts, ``limit`` at most, ascending, their counts, and the least count among them."""
     rows = counts.filter(F.col("kind") == kind)
     by_count = rows.groupBy(F.least("n", F.lit(1 << 16)).alias("c")).count().orderBy(F.desc("c")).toLocalIterator()
     kept, least = 0, 1 << 62
@@ -137,7 +137,10 @@ def frequent(counts: DataFrame, kind: int, limit: int) -> tuple[pa.Table, int]:
         if kept + k > limit:
             break
         kept, least = kept + k, c
-    return rows.filter(F.col("n") >= least).select("key", "n").toArrow(), least
+    table = rows.filter(F.col("n") >= least).select("key", "n").toArrow()
+    keys, n = table["key"].to_numpy().astype(np.int64).view(np.uint64), table["n"].to_numpy().astype(np.int64)
+    order = np.argsort(keys)
+    return keys[order], n[order], least
 
 
 class Lookup:
@@ -174,14 +177,17 @@ class Lookup:
 
 
 class Trie:
-    """Static PPM-C: log10 probability of a symbol after a context, for arrays of packed keys."""
+    """Static PPM-C: log10 probability of a symbol after a context, for arrays of packed keys.
+
+    Built from distinct keys in ascending order, which are shared and not copied, and their counts.
+    """
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int = ORDER):
         self.order = order
         self.grams, self.contexts, first_of = {}, {}, {}
         for m in range(order, -1, -1):
-            mask = np.uint64((1 << 8 * (m + 1)) - 1)
-            keys, counts = tally(keys & mask, counts)
+            if m < order:
+                keys, counts = tally(keys & np.uint64((1 << 8 * (m + 1)) - 1), counts)
             context = keys >> np.uint64(8)
             first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(keys) else np.zeros(0, np.int64)
             total = np.add.reduceat(counts, first) if len(first) else np.zeros(0, np.int64)
@@ -237,11 +243,8 @@ def _load(name: str, shared) -> tuple:
     """Trie and word table of a broadcast, built once per worker process."""
     if name not in _loaded:
         _loaded.clear()
-        grams, words = shared.value
-        get = lambda t, c, kind: t[c].to_numpy().astype(np.int64).view(kind)
-        keys, n = get(words, "key", np.uint64), get(words, "n", np.int64)
-        trie = Trie(get(grams, "key", np.uint64), get(grams, "n", np.int64))
-        _loaded[name] = trie, Lookup(keys), np.log10(n + 1.0)
+        grams, counts, words, n = shared.value
+        _loaded[name] = Trie(grams, counts), Lookup(words), np.log10(n + 1.0)
     return _loaded[name]
 
 
@@ -252,9 +255,9 @@ def score(documents: DataFrame, training: DataFrame) -> DataFrame:
     texts = counts.filter(F.col("kind") == TEXT).agg(F.sum("n")).first()[0] or 0
     vocabulary, tokens = counts.filter(F.col("kind") == WORD).agg(F.count("key"), F.coalesce(F.sum("n"), F.lit(0))).first()
     tokens, vocabulary = tokens + texts, vocabulary + (texts > 0)
-    grams, _ = frequent(counts, GRAM, MAX_GRAMS)
-    words, least = frequent(counts, WORD, MAX_WORDS)
-    shared, name = spark.sparkContext.broadcast((grams, words)), uuid.uuid4().hex
+    grams, gram_counts, _ = frequent(counts, GRAM, MAX_GRAMS)
+    words, word_counts, least = frequent(counts, WORD, MAX_WORDS)
+    shared, name = spark.sparkContext.broadcast((grams, gram_counts, words, word_counts)), uuid.uuid4().hex
     end_log, end_known = math.log10(texts + 1), int(texts > 0)
     fields = [documents.schema["doc_id"], T.StructField("held_out", T.BooleanType())]
     for column, kind in (("n_tokens", T.LongType()), ("_known", T.LongType()), ("_log", T.DoubleType()), ("score", T.DoubleType()), ("_rare", T.ArrayType(T.LongType()))):

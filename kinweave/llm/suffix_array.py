@@ -20,7 +20,7 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     Larsson-Sadakane: after the first sort by a packed prefix, a group of equal
     prefixes of length h is sorted by the ranks of the positions h further on, and
     h doubles; groups of one are settled and not touched again. Positions that
-    agree in ``depth`` codes stay in text order.
+    agree in ``depth`` codes come in no particular order.
     """
     n = len(codes)
     if n == 0:
@@ -28,7 +28,7 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     bits = max(1, int(codes.max()).bit_length())
     h = max(1, min(depth, 62 // bits))
     key = pack(codes.astype(np.int64), h, bits)
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     ordered = key[sa]
     new = np.ones(n, bool)
     new[1:] = ordered[1:] != ordered[:-1]
@@ -42,7 +42,7 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
         at = sa[open_places]
         group = rank[at]
         beyond = rank[np.minimum(at + h, n)]
-        order = np.lexsort((beyond, group))
+        order = np.argsort(group * (n + 1) + beyond)
         at, group, beyond = at[order], group[order], beyond[order]
         sa[open_places] = at
         new = np.ones(len(at), bool)
@@ -58,7 +58,7 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
 def common_prefixes(codes: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     """Length up to ``most`` of the prefix each place shares with the one before it (Kasai).
 
-    Kasai's bound - a position's value is at least that of its left neighbour less
+    ``sa`` must be in full order, not cut at a depth. Kasai's bound - a position's value is at least that of its left neighbour less
     one - is applied by halving steps: positions at multiples of a step are
     extended first, and each position in between starts from what its neighbour at
     that step leaves it, so matched codes are not compared again.

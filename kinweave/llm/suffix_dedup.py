@@ -129,7 +129,7 @@ class Shard:
         used = np.zeros(256, np.int64)
         used[np.unique(data)] = 1
         codes = np.cumsum(used)[data]
-        sa = suffix_array(codes, WINDOW)
+        sa = suffix_array(codes, len(codes))  # in full order, as Kasai's bound needs
         group = np.empty(len(data), np.int64)
         group[sa] = np.cumsum(common_prefixes(codes, sa, WINDOW) < WINDOW)
         self.owner = np.repeat(np.arange(len(off) - 1), self.windows)
@@ -264,9 +264,15 @@ def removed_spans(documents: DataFrame, shard_size: int = SHARD) -> DataFrame:
     distinct = found.groupBy("anchor", "context").agg(F.min(place).alias("f"), F.first("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
     distinct = distinct.select("anchor", "context", "f.doc", "f.text", "f.place", "bytes", "n")
     contexts = materialise(distinct, "contexts")
-    # an anchor met once only passed the filter by chance
-    real = contexts.groupBy("anchor").agg(F.sum("n").alias("k")).filter("k > 1").select("anchor")
-    flags = solve(contexts.join(real, "anchor", "left_semi").drop("n"), shard_size)
+    # An anchor met once only passed the filter by chance. One whose occurrences all have the same context is
+    # settled by that: its windows occur there only, so all but the first occurrence lose them.
+    kinds = contexts.groupBy("anchor").agg(F.sum("n").alias("k"), F.count(F.lit(1)).alias("c")).filter("k > 1")
+    kinds = materialise(kinds.select("anchor", "c"), "kinds")
+    several = contexts.drop("n").join(kinds.filter("c > 1").select("anchor"), "anchor", "left_semi")
+    alone = contexts.join(kinds.filter("c = 1").select("anchor"), "anchor", "left_semi").select(
+        "anchor", "context", F.col("doc").alias("f_doc"), F.col("text").alias("f_text"), F.col("place").alias("f_place"), F.lit(None).cast("binary").alias("bits")
+    )
+    flags = solve(several, shard_size).unionByName(alone)
     members = occurrences(documents, bitmap, with_bytes=False)
     met = members.join(flags, ["anchor", "context"])
     is_first = (F.col("doc") == F.col("f_doc")) & (F.col("text") == F.col("f_text")) & (F.col("place") == F.col("f_place"))
