@@ -25,7 +25,7 @@ def mutual_top_k(scored: DataFrame, threshold: float, k: int | None = 1) -> Data
     return rows.join(left, PAIR, "left_semi").join(right, PAIR, "left_semi")
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """Cuts lineage with a table in the cluster's shared folder."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -40,14 +40,14 @@ def _written(df: DataFrame) -> DataFrame:
 def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(profile_id, component): the smallest id reachable. Labels spread along edges and jump over their own label each round."""
     both = edges.select(F.col("profile_id_l").alias("a"), F.col("profile_id_r").alias("b")).filter("a <> b")
-    both = _written(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = written(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     linked = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("component"))
-    now = _written(linked)
+    now = written(linked)
     for _ in range(rounds):
         near = both.join(now.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
         step = now.join(near, "a").select("a", F.least("component", "m").alias("component"))
         jump = step.select(F.col("a").alias("component"), F.col("component").alias("far"))
-        new = _written(step.join(jump, "component").select("a", F.least("component", "far").alias("component")))
+        new = written(step.join(jump, "component").select("a", F.least("component", "far").alias("component")))
         moved = new.join(now.withColumnRenamed("component", "was"), "a").filter("component <> was").limit(1).count()
         now = new
         if not moved:

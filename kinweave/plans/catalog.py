@@ -394,8 +394,8 @@ def pairs_internal(spark, d):
 
 def split_rows(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Values, packet rows, limited packet index and limited history index of the pair rules."""
-    pv = profile_values(spark, d)
-    rows = blocking.block_rows(pv, PAIR_RULES)
+    pv = graph.written(profile_values(spark, d))  # read by blocking and twice by similarity
+    rows = graph.written(blocking.block_rows(pv, PAIR_RULES))
     packet = F.col("profile_id").endswith("_0")
     return pv, rows.filter(packet), blocking.limited(rows.filter(packet)), blocking.limited(rows.filter(~packet))
 
@@ -470,7 +470,7 @@ def semi_anti_packet(spark, d):
 def all_events(spark, d) -> tuple[DataFrame, DataFrame]:
     pv, prows, pidx, hidx = split_rows(spark, d)
     across = candidates.limit_history(candidates.history_pairs(prows, hidx), R.STRONG, PER_PROFILE)
-    return candidates.internal_pairs(pidx).unionByName(across), pv
+    return graph.written(candidates.internal_pairs(pidx).unionByName(across)), pv
 
 
 CHAIN = O.pair_chain(PAIR_RULES, PER_PROFILE)
@@ -563,7 +563,7 @@ def embedding_pair_features(spark, d):
 
 def scored_pairs(spark, d) -> DataFrame:
     events, pv = all_events(spark, d)
-    return LogisticScorer().score(evidence.features(events, pv))
+    return graph.written(LogisticScorer().score(evidence.features(events, pv)))
 
 
 @register(O.query(CHAIN, "SELECT profile_id_l, profile_id_r, round(score, 6) AS score FROM scored"))
@@ -590,8 +590,8 @@ def _history(spark, d) -> DataFrame:
 
 
 def resolved(spark, d, k: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scored pairs, edges and components; scores are written once as several outputs read them."""
-    scored = graph._written(scored_pairs(spark, d))
+    """Scored pairs, edges and components."""
+    scored = scored_pairs(spark, d)
     edges = graph.mutual_top_k(scored, THRESHOLD, k)
     return scored, edges, graph.connected_components(_packet(spark, d), edges)
 
@@ -851,7 +851,7 @@ def value_clusters(spark, d):
 @register()
 def tree_scored_pairs(spark, d):
     events, pv = all_events(spark, d)
-    rows = graph._written(training.labelled(evidence.features(events, pv), mart.profile_core(raw_events(spark, d))))
+    rows = graph.written(training.labelled(evidence.features(events, pv), mart.profile_core(raw_events(spark, d))))
     from kinweave.operators.scoring import TreeScorer
 
     scorer = TreeScorer(evidence.MODEL_FEATURES).fit(rows, maxIter=5, maxDepth=3)
