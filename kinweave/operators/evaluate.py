@@ -119,11 +119,11 @@ def roc_auc(scored: DataFrame, label: str = "label") -> DataFrame:
     """Probability that a positive outranks a negative, ties counting half."""
     below = F.coalesce(F.sum("neg").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = _by_score(scored, label).withColumn("wins", F.col("pos") * (below + F.col("neg") / 2))
-    return rows.agg(F.round(F.sum("wins") / (F.sum("pos") * F.sum("neg")), 6).alias("roc_auc"))
+    return rows.agg(F.round(F.try_divide(F.sum("wins"), F.sum("pos") * F.sum("neg")), 6).alias("roc_auc"))
 
 
 def average_precision(scored: DataFrame, label: str = "label") -> DataFrame:
     """Sum over distinct scores of the step in recall times the precision there."""
     upto = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     rows = _by_score(scored, label).withColumns({"tp": F.sum("pos").over(upto), "n": F.sum(F.col("pos") + F.col("neg")).over(upto)})
-    return rows.agg(F.round(F.sum(F.col("pos") * F.col("tp") / F.col("n")) / F.sum("pos"), 6).alias("average_precision"))
+    return rows.agg(F.round(F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("n")), F.sum("pos")), 6).alias("average_precision"))
