@@ -28,14 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from kinweave.llm.kernels import chunks
 from kinweave.llm.piece_model import BPE, BYTE, NORMAL, SPACE, UNKNOWN, USER_DEFINED, PieceModel
 from kinweave.llm.ppm import Lookup
 from kinweave.llm.suffix_array import pack, suffix_array
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Units a worker remembers, and characters of text it takes at a time.
-REMEMBERED = 600_000
-BATCH_CHARS = 4 << 20
+#: Units a worker remembers, and bytes of text it takes at a time: two workers share an executor.
+REMEMBERED = 200_000
+BATCH_BYTES = 1 << 20
 NEVER = np.int64(1) << 40
 
 
@@ -323,26 +324,20 @@ def encode(documents: DataFrame, carry: list[str], model: str = MODEL, digest: b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name, shared)
         for b in batches:
-            texts, size, lo = [], 0, 0
-            column = b.column(len(carry)).to_pylist()
-            for hi, t in enumerate([*column, None]):
-                if hi == len(column) or size > BATCH_CHARS:
-                    if texts:
-                        ids = codec.encode(texts)
-                        cols = [b.column(i).slice(lo, hi - lo) for i in range(len(carry))]
-                        cols.append(pa.array([len(x) for x in ids], pa.int64()))
-                        if digest:
-                            cols.append(pa.array([len(x.encode()) for x in texts], pa.int64()))
-                            cols.append(pa.array([zlib.crc32(x.astype("<i4").tobytes()) for x in ids], pa.int64()))
-                            cols.append(pa.array([codec.decode(x) == t.replace(SPACE, " ") for x, t in zip(ids, texts, strict=True)]))
-                        else:
-                            at = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                            cols.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids), pa.int32())))
-                        yield pa.record_batch(cols, names=names)
-                    texts, size, lo = [], 0, hi
-                if hi < len(column):
-                    texts.append(t or "")
-                    size += len(texts[-1])
+            for lo, hi, _, _ in chunks(b.column(len(carry)), BATCH_BYTES):
+                part = b.slice(lo, hi - lo)
+                texts = [t or "" for t in part.column(len(carry)).to_pylist()]
+                ids = codec.encode(texts)
+                cols = [part.column(i) for i in range(len(carry))]
+                cols.append(pa.array([len(x) for x in ids], pa.int64()))
+                if digest:
+                    cols.append(pa.array([len(x.encode()) for x in texts], pa.int64()))
+                    cols.append(pa.array([zlib.crc32(x.astype("<i4").tobytes()) for x in ids], pa.int64()))
+                    cols.append(pa.array([codec.decode(x) == t.replace(SPACE, " ") for x, t in zip(ids, texts, strict=True)]))
+                else:
+                    at = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids), pa.int32())))
+                yield pa.record_batch(cols, names=names)
 
     return documents.select(*carry, "text").mapInArrow(run, T.StructType(fields))
 
