@@ -35,8 +35,10 @@ from kinweave.llm.suffix_array import pack, suffix_array
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units a worker remembers, and bytes of text it takes at a time: two workers share an executor.
-REMEMBERED = 200_000
-BATCH_BYTES = 1 << 20
+REMEMBERED = 400_000
+BATCH_BYTES = 4 << 20
+#: Characters of new units that are indexed together: every one of them has several edges.
+INDEX_CHARS = 400_000
 NEVER = np.int64(1) << 40
 
 
@@ -246,11 +248,19 @@ class Codec:
                 self.memory[u] = self._outside(body)
             else:
                 self.memory[u] = self._spaces(len(u))
-        names = list(core)
-        if not names:
-            return
+        group, size = [], 0
+        for name in core:
+            group.append(name)
+            size += len(name)
+            if size > INDEX_CHARS:
+                self._remember(group, core)
+                group, size = [], 0
+        if group:
+            self._remember(group, core)
+
+    def _remember(self, names: list[str], units: dict[str, list[str]]) -> None:
         for name, ids in zip(names, self.segment(names), strict=True):
-            for u in core[name]:
+            for u in units[name]:
                 spaces = len(u) - len(u.lstrip(SPACE))
                 if spaces < 2:
                     self.memory[u] = ids
