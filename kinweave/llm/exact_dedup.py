@@ -90,7 +90,10 @@ def stream_state(records: DataFrame, files_per_batch: int) -> DataFrame:
 
 def deduplicate(documents: DataFrame, key_digits: int = 64, files_per_batch: int = 1024) -> DataFrame:
     """One row per input row: doc_id, _kw_file, _kw_at, text_sha256, keep_id, group_size, kept."""
-    located = with_locator(documents)
+    return deduplicate_located(with_locator(documents), key_digits, files_per_batch)
+
+
+def deduplicate_located(located: DataFrame, key_digits: int = 64, files_per_batch: int = 1024) -> DataFrame:
     records = materialise(digest_records(located, key_digits), "digests")
     state = materialise(stream_state(records, files_per_batch), "groups")
     known = records.join(state, ["key", "n_bytes"])
@@ -123,7 +126,7 @@ def dedup_query(documents: DataFrame) -> DataFrame:
 def keep_documents(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` that stay, with their columns."""
     located = with_locator(documents)
-    stay = deduplicate(documents).filter("kept").select("_kw_file", "_kw_at")
+    stay = deduplicate_located(located).filter("kept").select("_kw_file", "_kw_at")
     return located.join(stay, ["_kw_file", "_kw_at"], "left_semi").select(*documents.columns)
 
 
