@@ -9,9 +9,10 @@ symbols never seen. Every text ends with an end symbol, so the probabilities of
 all texts add up to one.
 
 Pretrained: counts come from all training texts. Counting happens in map tasks,
-which sort packed n-grams, and one keyed aggregation. If the trie has more than
-``MAX_GRAMS`` leaves, those below the smallest count that fits are left out; all
-shorter contexts are sums over the leaves kept. That bounds the broadcast.
+which sort packed n-grams, and one keyed aggregation. All n-grams and contexts are
+kept as tables. The ``MAX_GRAMS`` most frequent leaves are broadcast with their
+probabilities; n-grams outside that part, rare or never seen, meet the tables in
+joins, so its size bounds memory and changes no score.
 
 Adaptive: :func:`adaptive_log10` learns from the text it codes, from nothing.
 
@@ -128,19 +129,71 @@ def count_corpus(training: DataFrame) -> DataFrame:
     return materialise(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
 
 
-def frequent(counts: DataFrame, kind: int, limit: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The keys of a kind with the largest counts, ``limit`` at most, ascending, their counts, and the least count among them."""
-    rows = counts.filter(F.col("kind") == kind)
+def frequent(rows: DataFrame, limit: int, value: str = "n") -> tuple[np.ndarray, np.ndarray, int]:
+    """The keys with the largest counts, ``limit`` at most, ascending, their values, and the least count among them."""
     by_count = rows.groupBy(F.least("n", F.lit(1 << 16)).alias("c")).count().orderBy(F.desc("c")).toLocalIterator()
     kept, least = 0, 1 << 62
     for c, k in by_count:
         if kept + k > limit:
             break
         kept, least = kept + k, c
-    table = rows.filter(F.col("n") >= least).select("key", "n").toArrow()
-    keys, n = table["key"].to_numpy().astype(np.int64).view(np.uint64), table["n"].to_numpy().astype(np.int64)
+    table = rows.filter(F.col("n") >= least).select("key", value).toArrow()
+    keys, found = table["key"].to_numpy().astype(np.int64).view(np.uint64), table[value].to_numpy()
     order = np.argsort(keys)
-    return keys[order], n[order], least
+    return keys[order], found[order], least
+
+
+def suffix(m: int) -> Column:
+    """The n-gram of order ``m`` at the end of a key."""
+    return F.col("key").bitwiseAND(F.lit((1 << 8 * (m + 1)) - 1))
+
+
+def model(leaves: DataFrame) -> tuple[dict[int, DataFrame], dict[int, DataFrame]]:
+    """By order, all n-grams (key, n) and all contexts (context, total, distinct, covered).
+
+    ``covered`` is what a context's symbols weigh in the next shorter one.
+    """
+    grams, contexts = {ORDER: leaves}, {}
+    for m in range(ORDER, -1, -1):
+        rows = grams[m].withColumn("_covers", F.lit(0).cast("long"))
+        if m:
+            grams[m - 1] = materialise(grams[m].groupBy(suffix(m - 1).alias("key")).agg(F.sum("n").alias("n")), "grams")
+            shorter = grams[m - 1].select(F.col("key").alias("_shorter"), F.col("n").alias("_covers"))
+            rows = grams[m].withColumn("_shorter", suffix(m - 1)).join(shorter, "_shorter")
+        table = rows.groupBy(F.shiftright("key", 8).alias("context")).agg(
+            F.sum("n").alias("total"), F.count("n").alias("distinct"), F.sum("_covers").alias("covered")
+        )
+        contexts[m] = materialise(table, "contexts")
+    return grams, contexts
+
+
+def bounded(table: DataFrame, n_bytes: int) -> DataFrame:
+    """Tables keyed by up to two bytes have 65536 rows at most and are broadcast."""
+    return F.broadcast(table) if n_bytes <= 2 else table
+
+
+def walk(asked: DataFrame, grams: dict[int, DataFrame], contexts: dict[int, DataFrame]) -> DataFrame:
+    """(key, log) of distinct keys with ``log`` null where no leaf is known: those escape from the longest known context down."""
+    zero = F.lit(0).cast("long")
+    rows = asked.select("key", F.col("log").isNotNull().alias("done"), F.coalesce("log", F.lit(0.0)).alias("log"), zero.alias("known"), zero.alias("weigh"))
+    for m in range(ORDER, -1, -1):
+        rows = rows.withColumn("context", F.shiftright(suffix(m), 8)).join(bounded(contexts[m], m), "context", "left")
+        if m < ORDER:
+            found = grams[m].select(F.col("key").alias("_gram"), "n")
+            rows = rows.withColumn("_gram", suffix(m)).join(bounded(found, m + 1), "_gram", "left")
+        else:
+            rows = rows.withColumn("n", F.lit(None).cast("long"))
+        here, hit = ~F.col("done") & F.col("total").isNotNull(), F.col("n").isNotNull()
+        fresh = F.col("distinct") - F.col("known")
+        share = F.coalesce("n", fresh) / F.greatest(F.col("total") - F.col("weigh") + fresh, F.lit(1))
+        rows = rows.select(
+            "key", (F.col("done") | (here & hit)).alias("done"),
+            (F.col("log") + F.when(here & (hit | (fresh > 0)), F.log10(share)).otherwise(0.0)).alias("log"),
+            F.when(here, F.col("distinct")).otherwise(F.col("known")).alias("known"),
+            F.when(here, F.col("covered")).otherwise(F.col("weigh")).alias("weigh"),
+        )
+    even = F.log10(F.greatest(F.lit(SYMBOLS) - F.col("known"), F.lit(1)))
+    return rows.select("key", (F.col("log") - F.when(F.col("done"), 0.0).otherwise(even)).alias("log"))
 
 
 class Lookup:
@@ -177,8 +230,9 @@ class Lookup:
 
 
 class Trie:
-    """Static PPM-C: log10 probability of a symbol after a context, for arrays of packed keys.
+    """Static PPM-C in memory: log10 probability of a symbol after a context, for arrays of packed keys.
 
+    The tables of :func:`model` give the same values for any number of n-grams.
     Built from distinct keys in ascending order, which are shared and not copied, and their counts.
     """
 
@@ -240,11 +294,11 @@ _loaded: dict[str, tuple] = {}
 
 
 def _load(name: str, shared) -> tuple:
-    """Trie and word table of a broadcast, built once per worker process."""
+    """Leaf and word tables of a broadcast, built once per worker process."""
     if name not in _loaded:
         _loaded.clear()
-        grams, counts, words, n = shared.value
-        _loaded[name] = Trie(grams, counts), Lookup(words), np.log10(n + 1.0)
+        grams, gram_logs, words, n = shared.value
+        _loaded[name] = Lookup(grams), gram_logs, Lookup(words), np.log10(n + 1.0)
     return _loaded[name]
 
 
@@ -255,21 +309,30 @@ def score(documents: DataFrame, training: DataFrame) -> DataFrame:
     texts = counts.filter(F.col("kind") == TEXT).agg(F.sum("n")).first()[0] or 0
     vocabulary, tokens = counts.filter(F.col("kind") == WORD).agg(F.count("key"), F.coalesce(F.sum("n"), F.lit(0))).first()
     tokens, vocabulary = tokens + texts, vocabulary + (texts > 0)
-    grams, gram_counts, _ = frequent(counts, GRAM, MAX_GRAMS)
-    words, word_counts, least = frequent(counts, WORD, MAX_WORDS)
-    shared, name = spark.sparkContext.broadcast((grams, gram_counts, words, word_counts)), uuid.uuid4().hex
+    grams, contexts = model(counts.filter(F.col("kind") == GRAM).select("key", "n"))
+    leaves = grams[ORDER].withColumn("context", F.shiftright("key", 8)).join(contexts[ORDER], "context")
+    leaves = materialise(leaves.select("key", "n", F.log10(F.col("n") / (F.col("total") + F.col("distinct"))).alias("log")), "leaves")
+    common_grams, gram_logs, least_gram = frequent(leaves, MAX_GRAMS, "log")
+    words, word_counts, least = frequent(counts.filter(F.col("kind") == WORD), MAX_WORDS)
+    shared, name = spark.sparkContext.broadcast((common_grams, gram_logs, words, word_counts)), uuid.uuid4().hex
     end_log, end_known = math.log10(texts + 1), int(texts > 0)
     fields = [documents.schema["doc_id"], T.StructField("held_out", T.BooleanType())]
-    for column, kind in (("n_tokens", T.LongType()), ("_known", T.LongType()), ("_log", T.DoubleType()), ("score", T.DoubleType()), ("_rare", T.ArrayType(T.LongType()))):
+    for column, kind in (("n_tokens", T.LongType()), ("_known", T.LongType()), ("_log", T.DoubleType()), ("_score", T.DoubleType()), ("_rare", T.ArrayType(T.LongType())), ("_grams", T.ArrayType(T.LongType()))):
         fields.append(T.StructField(column, kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, table, logs = _load(name, shared)
+        leaf, leaf_logs, table, logs = _load(name, shared)
         for b in batches:
             for lo, hi, data, off in K.chunks(b.column(2), CHUNK):
                 data = K.LOWER[data]
                 keys, bounds = packed(data, off)
-                run_sum = np.concatenate(([0.0], np.cumsum(trie.log10(keys))))
+                row = leaf.find(keys)
+                missed = row < 0
+                log = np.zeros(len(keys))
+                log[~missed] = leaf_logs[row[~missed]]
+                run_sum = np.concatenate(([0.0], np.cumsum(log)))
+                n_missed = np.concatenate(([0], np.cumsum(missed)))[bounds].astype(np.int32)
+                grams = pa.ListArray.from_arrays(pa.array(n_missed), pa.array(keys[missed].view(np.int64)))
                 start, end, before = K.words(data, off)
                 word = K.span_hashes(K.prefix_sums(data), start, end)
                 row = table.find(word)
@@ -279,7 +342,7 @@ def score(documents: DataFrame, training: DataFrame) -> DataFrame:
                 known = np.bincount(owner[common], minlength=hi - lo) + end_known
                 rare = np.concatenate(([0], np.cumsum(np.bincount(owner[~common], minlength=hi - lo)))).astype(np.int32)
                 cols = [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), np.diff(before) + 1, known, log]
-                cols += [run_sum[bounds[1:]] - run_sum[bounds[:-1]], pa.ListArray.from_arrays(pa.array(rare), pa.array(word[~common].view(np.int64)))]
+                cols += [run_sum[bounds[1:]] - run_sum[bounds[:-1]], pa.ListArray.from_arrays(pa.array(rare), pa.array(word[~common].view(np.int64))), grams]
                 yield pa.record_batch([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], names=[f.name for f in fields])
 
     marked = documents.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, T.StructType(fields))
@@ -290,12 +353,18 @@ def score(documents: DataFrame, training: DataFrame) -> DataFrame:
     met = rare.join(rest, "key", "left").groupBy("_row").agg(
         F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("_more"), F.count("n").alias("_seen")
     )
-    return scored.join(met, "_row", "left").select(
+    # n-grams outside the broadcast part meet the tables: leaves first, then the walk down for what was never seen
+    missed = scored.select("_row", F.explode("_grams").alias("key"))
+    fewer = leaves.filter(F.col("n") < least_gram).select("key", "log")
+    asked = missed.select("key").distinct().join(fewer, "key", "left")
+    told = materialise(walk(asked, grams, contexts), "walked")
+    walked = missed.join(told, "key").groupBy("_row").agg(F.sum("log").alias("_walked"))
+    return scored.join(met, "_row", "left").join(walked, "_row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("_known") + F.coalesce("_seen", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("_log") + F.coalesce("_more", F.lit(0.0)) - F.col("n_tokens") * math.log10(tokens + vocabulary + 1)).alias("base_score"),
-        "score",
+        (F.col("_score") + F.coalesce("_walked", F.lit(0.0))).alias("score"),
     )
 
 

@@ -232,6 +232,19 @@ def test_ppm_rare_words_are_joined(docs, monkeypatch):
     assert few == pytest.approx(whole)
 
 
+def test_ppm_rare_ngrams_are_joined(docs, rows, monkeypatch):
+    train = [(t or "").translate(UPPER).encode() for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    off = np.cumsum([0, *map(len, train)])
+    trie = ppm.Trie(*ppm.tally(ppm.packed(np.frombuffer(b"".join(train), np.uint8), off)[0]))
+    want = {}
+    for i, t, *_ in rows:
+        text = np.frombuffer((t or "").translate(UPPER).encode(), np.uint8)
+        want[i] = trie.log10(ppm.packed(text, np.array([0, len(text)]))[0]).sum()
+    for most in (ppm.MAX_GRAMS, 40, 0):
+        monkeypatch.setattr(ppm, "MAX_GRAMS", most)
+        assert {r.doc_id: r.score for r in ppm.score_query(docs).collect()} == pytest.approx(want)
+
+
 def test_ppm_is_a_distribution():
     text = np.frombuffer(b"abracadabra abra", np.uint8)
     trie = ppm.Trie(*ppm.tally(ppm.packed(text, np.array([0, 5, 16]), 3)[0]), order=3)
