@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.operators.components import components, written
+
 PAIR = ["profile_id_l", "profile_id_r"]
 
 
@@ -25,34 +24,11 @@ def mutual_top_k(scored: DataFrame, threshold: float, k: int | None = 1) -> Data
     return rows.join(left, PAIR, "left_semi").join(right, PAIR, "left_semi")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a table in the cluster's shared folder."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="kinweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(profile_id, component): the smallest id reachable. Labels spread along edges and jump over their own label each round."""
-    both = edges.select(F.col("profile_id_l").alias("a"), F.col("profile_id_r").alias("b")).filter("a <> b")
-    both = written(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    linked = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("component"))
-    now = written(linked)
-    for _ in range(rounds):
-        near = both.join(now.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        step = now.join(near, "a").select("a", F.least("component", "m").alias("component"))
-        jump = step.select(F.col("a").alias("component"), F.col("component").alias("far"))
-        new = written(step.join(jump, "component").select("a", F.least("component", "far").alias("component")))
-        moved = new.join(now.withColumnRenamed("component", "was"), "a").filter("component <> was").limit(1).count()
-        now = new
-        if not moved:
-            break
-    out = nodes.select("profile_id").distinct().join(now.withColumnRenamed("a", "profile_id"), "profile_id", "full_outer")
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(profile_id, component) of all nodes and linked ids: the smallest id reachable."""
+    found = components(edges.select(F.col("profile_id_l").alias("a"), F.col("profile_id_r").alias("b")))
+    linked = found.select(F.explode(F.array("id", "component")).alias("profile_id"))
+    out = nodes.select("profile_id").unionByName(linked).distinct().join(found.withColumnRenamed("id", "profile_id"), "profile_id", "left")
     return out.withColumn("component", F.coalesce("component", "profile_id"))
 
 

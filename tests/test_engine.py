@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 from datetime import datetime
 
 import pytest
@@ -117,6 +118,19 @@ def test_assignment_decisions(spark):
     assert {r.decision for r in got.collect()} == {"new_client"} and got.count() == 3
 
 
+def test_components_of_long_paths(spark, monkeypatch):
+    ids = [f"p{i:03d}" for i in range(300)]
+    random.Random(5).shuffle(ids)
+    chain = ["q000", *(f"q{i:03d}" for i in range(299, 0, -1))]  # the smallest id creeps along it
+    edges = _scored(spark, [(*sorted(x), 0.9) for path in (ids, chain) for x in itertools.pairwise(path)])
+    nodes = spark.createDataFrame([("p000",), ("z",)], "profile_id string")
+    got = {r.profile_id: r.component for r in graph.connected_components(nodes, edges).collect()}
+    assert got == {**dict.fromkeys(ids, "p000"), **dict.fromkeys(chain, "q000"), "z": "z"}
+    monkeypatch.setattr("kinweave.operators.components.MAX_ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        graph.connected_components(nodes, edges)
+
+
 def test_two_links(spark):
     edges = _scored(spark, [("a", "b", 0.99)])
     scored = _scored(spark, [("a", "b", 0.99), ("a", "x", 0.97), ("b", "x", 0.96), ("a", "y", 0.97)])
