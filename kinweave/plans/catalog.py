@@ -12,6 +12,7 @@ from kinweave.operators import blocking, candidates, embeddings, evaluate, evide
 from kinweave.operators import rules as R
 from kinweave.operators.scoring import LogisticScorer
 from kinweave.plans import oracles as O
+from kinweave.plans.api import Policy
 from kinweave.sources.tables import head_rows, raw_events, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,7 +53,7 @@ PAIR_RULES = R.named([
     "rule__coverage__np_geoname_id__np_device__np_osfamily", "rule__behavior_context_device__np_subdivision__fs_source_site_365__np_osfamily",
 ])
 FLAGSHIP_RULE = R.named(["rule__behavior_context__np_geoname_id__fs_source_site_365"])
-THRESHOLD, PER_PROFILE = 0.2, 20
+THRESHOLD, PER_PROFILE = 0.2, Policy.per_profile
 
 
 # --- scans, limits, splits

@@ -131,6 +131,16 @@ def test_components_of_long_paths(spark, monkeypatch):
         graph.connected_components(nodes, edges)
 
 
+def test_pair_queries_keep_300_candidates_a_profile(spark, monkeypatch):
+    from kinweave.plans import catalog
+
+    rule = R.named(["rule__context__np_geoname_id"])
+    block = lambda ids: blocking.block_rows(_values(spark, [(i, "np", "geoname_id", "10") for i in ids]), rule)
+    packet, history = block(["p_0"]), block([f"h{i:03d}_1" for i in range(310)])
+    monkeypatch.setattr(catalog, "split_rows", lambda *_: (None, packet, blocking.limited(packet), blocking.limited(history)))
+    assert catalog.all_events(spark, "")[0].count() == 300
+
+
 def test_two_links(spark):
     edges = _scored(spark, [("a", "b", 0.99)])
     scored = _scored(spark, [("a", "b", 0.99), ("a", "x", 0.97), ("b", "x", 0.96), ("a", "y", 0.97)])
