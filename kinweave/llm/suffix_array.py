@@ -10,7 +10,7 @@ def pack(codes: np.ndarray, width: int, bits: int) -> np.ndarray:
     key = np.zeros(len(codes), np.int64)
     for k in range(width):
         key <<= bits
-        key[: len(codes) - k] |= codes[k:]
+        key[: max(0, len(codes) - k)] |= codes[k:]
     return key
 
 
