@@ -43,7 +43,7 @@ def build(ids: DataFrame, bits: int = BITS) -> bytes:
         yield pa.record_batch({"bits": pa.array([np.packbits(own).tobytes()], pa.binary())})
 
     total = np.zeros(bits // 8, np.uint8)
-    for row in ids.coalesce(PARTS).mapInArrow(run, "bits binary").toLocalIterator():
+    for row in ids.repartition(PARTS).mapInArrow(run, "bits binary").toLocalIterator():
         total |= np.frombuffer(bytes(row["bits"]), np.uint8)
     return total.tobytes()
 

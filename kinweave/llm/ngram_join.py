@@ -2,10 +2,14 @@
 
 The set of a text holds its distinct five-word shingles (64-bit hashes); a text
 of fewer words has its whole word sequence as one shingle. Sets are sorted in one
-global order, rare shingles first: the most repeated ``HEAVY`` shingles, found by
-counting all texts, come last by count, all others lie before them by hash. Two
-sets of similarity 0.8 share a shingle within their first 20 %, so only sets that
-share such a prefix shingle are compared.
+global order, rare shingles first, by counts over all texts. Two sets of similarity
+0.8 share a shingle within their first 20 %, so only sets that share such a prefix
+shingle are compared. As shingles that occur once come first, a set that differs
+from all others in more than its prefix is never compared at all.
+
+Counting is exact and nothing of it is broadcast: map tasks send the distinct
+shingles of every block of texts to buckets by hash range, buckets send the counts
+of those that occur elsewhere too back to the blocks, and blocks order their sets.
 
 Equal sets are one node from the start. Then links are sought in two phases:
 
@@ -22,7 +26,8 @@ shorter remainder cannot reach the threshold.
 
 Texts that are null or have no word have an empty set and link with nothing. Rows
 without id get no component. Rows that repeat an id are one node for each text;
-each gets the component of its own text.
+each gets the component of its own text. Ids are whole numbers. Other columns are
+not read. Memory follows the longest text.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,12 +47,13 @@ from kinweave.llm.components import components
 
 WORDS = 5
 PERCENT = 80
-HEAVY = 1 << 18
-#: Shingles a map task counts at a time, and the repeats among them that make one a candidate for HEAVY.
-WINDOW, REPEATS = 4_000_000, 4
 TRIE_SETS = 256
-TOP = np.uint64(1 << 63)
-DOC, SHINGLE = 0, 1
+#: Shingles that a bucket counts, about: the number of buckets follows the size of the texts.
+BUCKET_KEYS = 1 << 19
+#: Texts of a block at most, so that two bytes number them, and the count in a block from which on one byte does not do.
+BLOCK_ROWS, MANY = 60_000, 255
+DOC, KEYS, SHARED = 0, 1, 2
+PARTS = "bucket int, block long, kind int, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
 
 
 def shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,87 +103,151 @@ def needed(a, b):
     return (PERCENT * (a + b) + 99 + PERCENT) // (100 + PERCENT)
 
 
-def describe(documents: DataFrame) -> DataFrame:
-    """Rows (kind, doc_id, key, n): each text's set name and size, and shingles that repeat within a window with their counts."""
+def bucket_bits(documents: DataFrame) -> int:
+    """Bits of a shingle that name its bucket: a shingle takes about four bytes of text."""
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(28, max(6, (size // (4 * BUCKET_KEYS)).bit_length()))
+
+
+def _cells(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Binary cells of the runs of ``data`` that begin at ``at``."""
+    off = (np.append(at, len(data)) * data.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+
+
+def _batch(**columns) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    kinds = {"bucket": pa.int32(), "block": pa.int64(), "kind": pa.int32()}
+    full = [pa.array(columns[c], kinds[c]) for c in kinds] + [columns.get(c, pa.nulls(n, pa.binary())) for c in "abcdefg"]
+    return pa.record_batch(full, names=[*kinds, *"abcdefg"])
+
 
-    def repeated(values: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        v = np.sort(np.concatenate(values))
-        first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.zeros(0, np.int64)
-        count = np.diff(np.append(first, len(v)))
-        many = count >= REPEATS
-        key = v[first[many]].view(np.int64)
-        kind = np.full(len(key), SHINGLE, np.int32)
-        yield pa.record_batch([pa.array(kind), pa.nulls(len(key), pa.int64()), pa.array(key), pa.array(count[many])], names=["kind", "doc_id", "key", "n"])
+def blocks(documents: DataFrame, bits: int, many_from: int = MANY, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Every block of texts as one DOC row - ids, their validity, set names, sizes, and texts of its most common tokens -
+    and, per bucket, one KEYS row: its distinct tokens there, their numbers of texts, and these texts.
+
+    A token is a shingle's first ``bits`` + 32 bits, the bucket in front. Tokens only
+    order the sets; a token that two shingles share makes candidates, never a link.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in batches:
-            for lo, hi, data, off in K.chunks(b.column(1)):
-                value, at = shingles(data, off)
-                kind = pa.array(np.full(hi - lo, DOC, np.int32))
-                ids = b.column(0).slice(lo, hi - lo).cast(pa.int64())
-                name = pa.array(set_ids(value, at).view(np.int64))
-                yield pa.record_batch([kind, ids, name, pa.array(np.diff(at))], names=["kind", "doc_id", "key", "n"])
-                held.append(value)
-                size += len(value)
-                if size >= WINDOW:
-                    yield from repeated(held)
-                    held, size = [], 0
-        if held:
-            yield from repeated(held)
-
-    return documents.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, key long, n long")
-
-
-class Order:
-    """The global order: heavy shingles (ascending hash table, rank by count) after all others."""
-
-    def __init__(self, heavy: np.ndarray, rank: np.ndarray):
-        self.heavy, self.rank = heavy, rank
-
-    def sort(self, value: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Order keys of the sets, ascending within each."""
-        if not len(self.heavy):
-            return value
-        place = np.minimum(np.searchsorted(self.heavy, value), len(self.heavy) - 1)
-        hit = self.heavy[place] == value
-        key = np.where(hit, TOP | self.rank[place], value)
-        return key[np.lexsort((key, np.repeat(np.arange(len(at) - 1), np.diff(at))))]
-
-
-def global_order(described: DataFrame, heavy: int = HEAVY) -> Order:
-    """At most ``heavy`` shingles reach the driver."""
-    counts = described.filter(F.col("kind") == SHINGLE).groupBy("key").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "key").limit(heavy).toArrow()
-    key = top["key"].to_numpy().astype(np.int64).view(np.uint64)
-    rank = np.empty(len(key), np.uint64)
-    rank[np.lexsort((key, top["n"].to_numpy()))] = np.arange(len(key), dtype=np.uint64)
-    by_key = np.argsort(key)
-    return Order(key[by_key], rank[by_key])
-
-
-def prefixes(documents: DataFrame, order) -> DataFrame:
-    """(token, node, n, pos) of the prefix of every distinct set in a map task."""
+        block, seen = (TaskContext.get().partitionId() << 32) - 1, set()
+        for whole in batches:
+            for row in range(0, whole.num_rows, block_rows):
+                b = whole.slice(row, block_rows)
+                for lo, hi, data, off in K.chunks(b.column(1)):
+                    block += 1
+                    value, at = shingles(data, off)
+                    name, n = set_ids(value, at), np.diff(at)
+                    fresh = np.array([(x not in seen and not seen.add(x)) for x in name.tolist()], bool) & (n > 0)
+                    mine = np.repeat(fresh, n)
+                    token = value[mine] >> np.uint64(31 - bits)
+                    order = np.argsort(token, kind="stable")
+                    token, text = token[order], np.repeat(np.arange(hi - lo), n)[mine][order].astype(np.uint16)
+                    first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, np.int64)
+                    count = np.diff(np.append(first, len(token)))
+                    key = token[first]
+                    many = count >= many_from
+                    apart = np.repeat(many, count)
+                    ids = b.column(0).slice(lo, hi - lo).cast(pa.int64())
+                    known = ids.is_valid().to_numpy(zero_copy_only=False)
+                    ids = ids.fill_null(0).to_numpy()
+                    one = np.zeros(1, np.int64)
+                    yield _batch(
+                        bucket=[block % (1 << bits)], block=[block], kind=[DOC],
+                        a=_cells(ids, one), b=_cells(known.astype(np.uint8), one), c=_cells(name, one), d=_cells(n.astype(np.int64), one),
+                        e=_cells(key[many], one), f=_cells(count[many], one), g=_cells(text[apart], one),
+                    )
+                    bucket = (key >> np.uint64(32)).astype(np.int32)
+                    start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(key) else np.zeros(0, np.int64)
+                    sent = np.concatenate(([0], np.cumsum(np.where(many, 0, count))))
+                    yield _batch(
+                        bucket=bucket[start], block=np.full(len(start), block), kind=np.full(len(start), KEYS, np.int32),
+                        a=_cells(key.astype(np.uint32), start), b=_cells(np.minimum(count, many_from).astype(np.uint8), start), c=_cells(text[~apart], sent[start]),
+                    )
+
+    return documents.select("doc_id", "text").mapInArrow(run, PARTS)
+
+
+def _numbers(cells: pa.ChunkedArray, kind) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), kind) for x in cells]
+
+
+def _count_task(table: pa.Table, many: int = MANY) -> pa.Table:
+    """Passes DOC rows on; of KEYS rows the tokens that occur in other texts too, with their rank by count (0 to 255)."""
+    kind = table["kind"].to_numpy()
+    out = [table.filter(pa.array(kind == DOC))]
+    rows = table.filter(pa.array(kind == KEYS))
+    if rows.num_rows:
+        keys, counts, texts = _numbers(rows["a"], np.uint32), _numbers(rows["b"], np.uint8), _numbers(rows["c"], np.uint16)
+        every, weight = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+        order = np.argsort(every, kind="stable")
+        new = np.concatenate(([True], every[order][1:] != every[order][:-1]))
+        total = np.empty(len(every), np.int64)
+        total[order] = np.add.reduceat(weight[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        shared = total > 1
+        rank = np.minimum(255, np.log2(total) * 8).astype(np.uint8)
+        owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        sent = np.where(weight < many, weight, 0)
+        begin = np.searchsorted(owner[shared], np.arange(len(keys)))
+        before = np.concatenate(([0], np.cumsum(sent[shared])))
+        token = (np.uint64(rows["bucket"][0].as_py()) << np.uint64(32)) | every[shared].astype(np.uint64)
+        batch = _batch(
+            bucket=rows["bucket"].to_numpy(), block=rows["block"].to_numpy(), kind=np.full(len(keys), SHARED, np.int32),
+            a=_cells(token, begin), b=_cells(rank[shared], begin), c=_cells(weight[shared].astype(np.uint8), begin),
+            d=_cells(np.concatenate(texts)[np.repeat(shared, sent)], before[begin]),
+        )
+        out.append(pa.Table.from_batches([batch]).filter(pa.array(np.diff(np.append(begin, shared.sum())) > 0)))
+    return pa.concat_tables([t.cast(out[-1].schema) for t in out])
+
+
+def _order_task(table: pa.Table, many: int = MANY) -> pa.Table:
+    """(token, node, n, pos) of the shared tokens in the ordered prefixes of a block's sets."""
+    kind = table["kind"].to_numpy()
+    doc, rows = table.filter(pa.array(kind == DOC)), table.filter(pa.array(kind == SHARED))
+    if not rows.num_rows or not doc.num_rows:
+        return pa.table({"token": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "n": pa.array([], pa.int32()), "pos": pa.array([], pa.int32())})
+    get = lambda t, c, k: np.concatenate(_numbers(t[c], k))
+    name, n = get(doc, "c", np.int64), get(doc, "d", np.int64)
+    token, rank, count = get(rows, "a", np.uint64), get(rows, "b", np.uint8), get(rows, "c", np.uint8).astype(np.int64)
+    few = count < many
+    text = [get(rows, "d", np.uint16)]
+    parts = [(np.repeat(token[few], count[few]), np.repeat(rank[few], count[few]))]
+    if not few.all():  # tokens of very many texts of the block travel with the block
+        key, times = get(doc, "e", np.uint64), get(doc, "f", np.int64)
+        place = np.searchsorted(key, token[~few])
+        by_key = np.zeros(len(key), np.uint8)
+        by_key[place] = rank[~few]
+        parts.append((np.repeat(key, times), np.repeat(by_key, times)))
+        text.append(get(doc, "g", np.uint16))
+    text, token, rank = np.concatenate(text).astype(np.int64), *(np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((token, rank, text))
+    text, token = text[order], token[order]
+    have = np.bincount(text, minlength=len(n))
+    pos = np.arange(len(text)) - np.repeat(np.cumsum(have) - have, have) + (n - have)[text]
+    take = pos < prefix_length(n)[text]
+    text, pos = text[take], pos[take]
+    return pa.table({"token": token[take].view(np.int64), "node": name[text], "n": n[text].astype(np.int32), "pos": pos.astype(np.int32)})
+
+
+def unpack(described: DataFrame) -> DataFrame:
+    """(doc_id, node, n_shingles) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for b in batches:
-            for _, _, data, off in K.chunks(b.column(0)):
-                value, at = shingles(data, off)
-                name, n = set_ids(value, at), np.diff(at)
-                key = order.value.sort(value, at)
-                fresh = np.array([(x not in seen and not seen.add(x)) for x in name.tolist()], bool) & (n > 0)
-                pos = np.arange(len(key)) - np.repeat(at[:-1], n)
-                take = (pos < np.repeat(prefix_length(n), n)) & np.repeat(fresh, n)
-                cols = key[take].view(np.int64), np.repeat(name, n)[take].view(np.int64), np.repeat(n, n)[take], pos[take]
-                yield pa.record_batch({"token": cols[0], "node": cols[1], "n": cols[2].astype(np.int32), "pos": cols[3].astype(np.int32)})
+            for a, valid, c, d in zip(*(b.column(i) for i in range(4)), strict=True):
+                ids = np.frombuffer(a.as_buffer(), np.int64)
+                known = np.frombuffer(valid.as_buffer(), np.uint8).astype(bool)
+                cols = [pa.array(ids, mask=~known), pa.array(np.frombuffer(c.as_buffer(), np.int64)), pa.array(np.frombuffer(d.as_buffer(), np.int64))]
+                yield pa.record_batch(cols, names=["doc_id", "node", "n_shingles"])
 
-    return documents.select("text").mapInArrow(run, "token long, node long, n int, pos int")
+    return described.filter(F.col("kind") == DOC).select(*"abcd").mapInArrow(run, "doc_id long, node long, n_shingles long")
 
 
-def fetch_sets(documents: DataFrame, order, nodes: DataFrame, owners: DataFrame) -> DataFrame:
+def fetch_sets(documents: DataFrame, nodes: DataFrame, owners: DataFrame) -> DataFrame:
     """(node, key) of the nodes asked for: their ordered sets, packed; texts are found by the id of one owner."""
-    bitmap = idfilter.build(owners.join(nodes, "node", "left_semi").select("doc_id"))
+    asked = materialise(owners.join(nodes, "node", "left_semi").select("doc_id"), "asked")
+    bitmap = idfilter.build(asked, idfilter.bits_for(asked.count()))
     shared = documents.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,8 +255,7 @@ def fetch_sets(documents: DataFrame, order, nodes: DataFrame, owners: DataFrame)
             b = b.filter(pa.array(idfilter.passes(shared.value, b.column(0).cast(pa.int64()))))
             for _, _, data, off in K.chunks(b.column(1)):
                 value, at = shingles(data, off)
-                key = order.value.sort(value, at)
-                packed = [key[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+                packed = [value[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
                 yield pa.record_batch([pa.array(set_ids(value, at).view(np.int64)), pa.array(packed, pa.binary())], names=["node", "key"])
 
     found = documents.select("doc_id", "text").mapInArrow(run, "node long, key binary")
@@ -231,11 +301,11 @@ def _tree_task(table: pa.Table) -> pa.Table:
     return pa.table({"a": table["hub"].to_numpy()[hit], "b": table["node"].to_numpy()[hit]})
 
 
-def verify(pairs: DataFrame, documents: DataFrame, order, owners: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, documents: DataFrame, owners: DataFrame) -> DataFrame:
     """The pairs (hub, node) that reach the threshold, as edges (a, b)."""
     pairs = materialise(pairs, "pairs")
     nodes = pairs.select(F.col("hub").alias("node")).union(pairs.select("node")).distinct()
-    sets = materialise(fetch_sets(documents, order, nodes, owners), "sets")
+    sets = materialise(fetch_sets(documents, nodes, owners), "sets")
     sizes = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / TRIE_SETS).cast("int").alias("parts"))
     members = pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "node")
     hubs = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("node"))
@@ -243,14 +313,14 @@ def verify(pairs: DataFrame, documents: DataFrame, order, owners: DataFrame) ->
     return materialise(dealt.groupBy("hub", "part").applyInArrow(_tree_task, "a long, b long"), "links")
 
 
-def join(documents: DataFrame) -> DataFrame:
+def join(documents: DataFrame, many: int = MANY, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    described = materialise(describe(documents), "described")
-    order = documents.sparkSession.sparkContext.broadcast(global_order(described))
-    rows = described.filter(F.col("kind") == DOC).select("doc_id", F.col("key").alias("node"), F.col("n").alias("n_shingles"))
+    counted = materialise(blocks(documents, bucket_bits(documents), many, block_rows).groupBy("bucket").applyInArrow(lambda t: _count_task(t, many), PARTS), "counted")
+    rows = materialise(unpack(counted), "rows")
     owners = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
-    light = prefixes(documents, order)
+    ordered = counted.groupBy("block").applyInArrow(lambda t: _order_task(t, many), "token long, node long, n int, pos int")
+    light = materialise(ordered, "prefixes")
     tokens = light.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("token")
     shared = materialise(light.join(tokens, "token").distinct(), "shared")
 
@@ -263,7 +333,7 @@ def join(documents: DataFrame) -> DataFrame:
     hubs = able.groupBy("token").agg(F.max(F.struct("weight", "node", "n")).alias("h")).select("token", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
     stars = able.join(hubs, "token").filter((F.col("node") != F.col("hub")) & _sizes_fit("n", "hub_n"))
     stars = stars.groupBy("hub", "node").agg(F.count(F.lit(1)).alias("c"), F.max(prefix).alias("p")).filter("4 * c >= p")
-    first = verify(stars.select("hub", "node"), documents, order, owners)
+    first = verify(stars.select("hub", "node"), documents, owners)
 
     # phase 2: prefix shingles that still hold several components
     known = materialise(components(first), "components")
@@ -285,7 +355,7 @@ def join(documents: DataFrame) -> DataFrame:
     share = lambda c: F.floor((PERCENT * F.col(c) + 99) / 100) - 1  # noqa: E731  what lies behind a prefix
     bound = F.least(F.least(F.col("a_n") - F.col("i"), F.col("b_n") - F.col("j")) - 1, F.greatest(share("a_n"), share("b_n")))
     met = met.filter(F.col("c") + bound >= need).select(F.col("a_node").alias("hub"), F.col("b_node").alias("node"))
-    second = verify(met, documents, order, owners)
+    second = verify(met, documents, owners)
 
     found = materialise(components(first.unionByName(second)), "components").withColumnRenamed("id", "node")
     named = rows.join(found, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
