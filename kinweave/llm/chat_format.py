@@ -16,7 +16,7 @@ per conversation, and each block is then solved between its known states.
 Roles are compared trimmed and lower-cased, with common aliases; a null or unknown
 role fits any role at a small cost. A null text is empty. A null conversation id
 is a conversation of its own; repeated turn numbers follow in order of role and
-text. Template marks inside texts are escaped.
+text. Template marks inside texts are escaped. A table without rows gives none.
 """
 
 from __future__ import annotations
@@ -139,17 +139,16 @@ def _open(role: int) -> str:
 END = "<|im_end|>\n"
 
 
-def pieces(turns: list[tuple[int, bool, tuple[int, ...]]], texts: list[str | None], enter: int, last: bool) -> list[str]:
-    """Rendered piece of each turn. A turn is closed by whatever comes next, so no piece looks ahead."""
-    out, begun = [], enter != 0
-    for (role, merged, inserted), text in zip(turns, texts, strict=True):
-        text = (text or "").replace("<|", "<\\|")
-        piece = "\n\n" if merged else (END if begun else "") + "".join(_open(q) + END for q in inserted) + _open(role)
-        out.append(piece + text)
+def marks(turns: list[tuple[int, bool, tuple[int, ...]]], enter: int, last: bool) -> tuple[list[str], list[str]]:
+    """What is rendered before and after the text of each turn. A turn is closed by whatever comes next, so nothing looks ahead."""
+    heads, begun = [], enter != 0
+    for role, merged, inserted in turns:
+        heads.append("\n\n" if merged else (END if begun else "") + "".join(_open(q) + END for q in inserted) + _open(role))
         begun = True
+    tails = [""] * len(turns)
     if last and turns:
-        out[-1] += END + "".join(_open(q) + END for q in CLOSING[turns[-1][0]])
-    return out
+        tails[-1] = END + "".join(_open(q) + END for q in CLOSING[turns[-1][0]])
+    return heads, tails
 
 
 def _segments(table: pa.Table) -> list[tuple[int | None, list[int]]]:
@@ -181,30 +180,38 @@ def _chained(table: pa.Table) -> pa.Table:
 def _solved(left: pa.Table, right: pa.Table) -> pa.Table:
     left = left.sort_by("row")
     known = {k: (a, b) for k, a, b in zip(right["conv_id"].to_pylist(), right["enter"].to_pylist(), right["leave"].to_pylist(), strict=True)}
-    roles, texts = [role_code(r) for r in left["role"].to_pylist()], left["text"].to_pylist()
-    turns, rendered = [], []
+    roles = [role_code(r) for r in left["role"].to_pylist()]
+    turns, heads, tails = [], [], []
     for k, rows in _segments(left):
         enter, leave = known.get(k, (0, None))
         got = solve([roles[i] for i in rows], enter, leave)
         turns += got
-        rendered += pieces(got, [texts[i] for i in rows], enter, leave is None)
+        before, after = marks(got, enter, leave is None)
+        heads += before
+        tails += after
     action = [("merge" if m else "keep") if q == r else ("merge_relabel" if m else "relabel") for (q, m, _), r in zip(turns, roles, strict=True)]
     return pa.table({
-        "row": left["row"], "conv_id": left["conv_id"], "turn": left["turn"], "role": left["role"],
-        "role_out": pa.array([STATES[q] for q, _, _ in turns], pa.string()), "action": pa.array(action, pa.string()),
-        "n_inserted": pa.array([len(i) for _, _, i in turns], pa.int32()), "rendered": pa.array(rendered, pa.string()),
+        "row": left["row"], "role_out": pa.array([STATES[q] for q, _, _ in turns], pa.string()), "action": pa.array(action, pa.string()),
+        "n_inserted": pa.array([len(i) for _, _, i in turns], pa.int32()), "head": pa.array(heads, pa.string()), "tail": pa.array(tails, pa.string()),
     })
 
 
-RESULT = "row long, conv_id long, turn long, role string, role_out string, action string, n_inserted int, rendered string"
+DECISION = "row long, role_out string, action string, n_inserted int, head string, tail string"
 
 
 def format_chats(conversations: DataFrame, block_rows: int = BLOCK) -> DataFrame:
-    """One row per turn, in the order of ``row``: conv_id, turn, role, role_out, action, n_inserted, rendered."""
+    """One row per turn, numbered by ``row``: conv_id, turn, role, role_out, action, n_inserted, rendered.
+
+    Python sees ids and roles alone; texts, however long, meet the decisions in the JVM.
+    """
     turns = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     numbered, _ = number_rows(turns, "conv_id", "turn", "role", "text", name="row")
-    blocks = numbered.withColumn("block", F.floor(F.col("row") / block_rows).cast("long"))
-    edges = blocks.select("block", "row", "conv_id", "role").groupBy("block").applyInArrow(_edges, "block long, conv_id long, cost array<long>")
+    blocks = numbered.select(F.floor(F.col("row") / block_rows).cast("long").alias("block"), "row", "conv_id", "role")
+    edges = blocks.groupBy("block").applyInArrow(_edges, "block long, conv_id long, cost array<long>")
     states = edges.groupBy("conv_id").applyInArrow(_chained, "block long, conv_id long, enter int, leave int")
     states = materialise(states, "states")
-    return blocks.groupBy("block").cogroup(states.groupBy("block")).applyInArrow(_solved, RESULT)
+    decided = blocks.groupBy("block").cogroup(states.groupBy("block")).applyInArrow(_solved, DECISION)
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("<\\|"))
+    return numbered.join(decided, "row").select(
+        "row", "conv_id", "turn", "role", "role_out", "action", "n_inserted", F.concat("head", text, "tail").alias("rendered")
+    )

@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="kinweave-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -38,6 +40,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, prefix: str, *wanted: str) -> dict[str, str]:
+    """Names for columns to be added: the wanted one, or with the prefix (as often as needed) where ``df`` has it already."""
+    out, have = {}, {c.lower() for c in df.columns}
+    for name in wanted:
+        out[name] = name
+        while out[name].lower() in have:
+            out[name] = prefix + out[name]
+    return out
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -60,13 +72,13 @@ def number_rows(df: DataFrame, *order: str, name: str = "_row") -> tuple[DataFra
     placed = materialise(
         df.repartitionByRange(shuffle_width(spark), *order)
         .sortWithinPartitions(*order)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
+        .withColumn("_kw_part", F.spark_partition_id())
+        .withColumn("_kw_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
         "numbered",
     )
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    total = sizes.agg(F.sum("_n")).first()[0] or 0
-    out = placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at"))
-    return out.drop("_part", "_at", "_before"), total
+    sizes = placed.groupBy("_kw_part").agg(F.count(F.lit(1)).alias("_kw_n"))
+    before = Window.orderBy("_kw_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_kw_part", F.coalesce(F.sum("_kw_n").over(before), F.lit(0)).alias("_kw_before"))
+    total = sizes.agg(F.sum("_kw_n")).first()[0] or 0
+    out = placed.join(F.broadcast(offsets), "_kw_part").withColumn(name, F.col("_kw_before") + F.col("_kw_at"))
+    return out.drop("_kw_part", "_kw_at", "_kw_before"), total

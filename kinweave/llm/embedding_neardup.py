@@ -40,11 +40,17 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Rows (vec_id, v) that can link, with vectors in double precision."""
+    """Rows (vec_id, v) that can link, in double precision and divided by a power of two, which changes no cosine.
+
+    The largest component ends between 1 and 2, so that squares neither vanish nor overflow.
+    """
     v = F.transform("embedding", lambda x: x.cast("double"))
     rows = vectors.select("vec_id", v.alias("v")).filter("vec_id is not null and v is not null and size(v) > 0")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.filter(fine & F.exists("v", lambda x: x != 0))
+    rows = rows.filter(fine & F.exists("v", lambda x: x != 0))
+    rows = rows.withColumn("most", F.array_max(F.transform("v", F.abs)))
+    rows = rows.withColumn("scale", F.pow(F.lit(2.0), F.floor(F.log2("most"))))
+    return rows.select("vec_id", F.transform("v", lambda x: x / F.col("scale")).alias("v"))
 
 
 def principal_axes(rows: DataFrame, dim: int) -> np.ndarray:
@@ -146,6 +152,18 @@ def compare_stripes(table: pa.Table, axes: np.ndarray, threshold: float) -> pa.T
     return pa.table({"row": row[has], "n_links": links[has], "joined": row[own[has]]})
 
 
+def stripe_partners(placed: DataFrame, reach: float) -> DataFrame:
+    """(stripe, from, to): the first and last stripe that lie within reach on the first axis.
+
+    One row per ``STRIPE_ROWS`` vectors or more passes the driver: 2 MB for a billion vectors.
+    """
+    ranges = placed.groupBy("stripe").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).orderBy("stripe").toArrow()
+    stripe, lo, hi = (ranges[c].to_numpy() for c in ("stripe", "lo", "hi"))
+    begin, end = np.searchsorted(hi, lo - reach), np.searchsorted(lo, hi + reach, side="right") - 1
+    table = pa.table({"stripe": stripe, "from": stripe[begin], "to": stripe[end]})
+    return placed.sparkSession.createDataFrame(table)
+
+
 def stripe_task(axes: np.ndarray, threshold: float):
     return lambda table: compare_stripes(table, axes, threshold)
 
@@ -163,12 +181,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
         numbered, n = number_rows(rows.withColumn("first", first), "first", "vec_id", name="row")
         stripes = max(LEAST_STRIPES, -(-n // STRIPE_ROWS))
         placed = numbered.withColumn("stripe", F.floor(F.col("row") * stripes / F.lit(n)).cast("int"))
-        ranges = placed.groupBy("stripe").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).orderBy("stripe").collect()
-        reach = (2 - 2 * threshold) ** 0.5 + SLACK
-        part = {r["stripe"]: [t["stripe"] for t in ranges if t["lo"] - r["hi"] <= reach and r["lo"] - t["hi"] <= reach] for r in ranges}
-        partners = F.create_map(*[c for s, t in part.items() for c in (F.lit(s), F.array(F.lit(t[0]), F.lit(t[-1])))])
-        span = placed.withColumn("_p", partners[F.col("stripe")])
-        dealt = span.withColumn("_t", F.explode(F.sequence(F.col("_p")[0], F.col("_p")[1]))).select(
+        partners = stripe_partners(placed, (2 - 2 * threshold) ** 0.5 + SLACK)
+        span = placed.join(F.broadcast(partners), "stripe")
+        dealt = span.withColumn("_t", F.explode(F.sequence("from", "to"))).select(
             F.least("stripe", "_t").alias("one"), F.greatest("stripe", "_t").alias("two"), "stripe", "row", "v"
         )
         linked = dealt.groupBy("one", "two").applyInArrow(stripe_task(axes, threshold), "row long, n_links long, joined long")

@@ -10,12 +10,16 @@ The model is fitted on a bounded sample of the labelled rows: those whose hashed
 id falls under ``SAMPLE_TEXTS`` over the rows of their language, so about that
 many texts a language. Words and n-grams below a share of ``LEAST_WORD_SHARE``
 and ``LEAST_GRAM_SHARE`` of their kind are left out, so no more than one over
-that share can remain per language and kind; that bounds what is broadcast.
+that share can remain per language and kind; that bounds what is broadcast. Both
+are parameters: at 0 every term of the sample stays, and words met once score by
+themselves instead of by their n-grams.
 
 A text that is null or has no letter is ``und`` with score 0, as is every text
 if nothing could be learned. A text with letters about which the model knows
-nothing gets the language with most training words and an even score. Ties go to
-the language that sorts first. Labels, sources and ids are no inputs of a prediction.
+nothing, such as one in a script not learned, gets the language with most training
+words and an even score. Ties go to the language that sorts first. Labels, sources
+and ids are no inputs of a prediction, so repeated ids do not matter; every text is
+read whole, however long. Other columns are carried as they are.
 """
 
 from __future__ import annotations
@@ -44,7 +48,9 @@ def held_out(fold: int = 0, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def fit(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> DataFrame:
+def fit(
+    labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, word_share: float = LEAST_WORD_SHARE, gram_share: float = LEAST_GRAM_SHARE
+) -> DataFrame:
     """(lang, size, term, n, total): words have size 0, n-grams their length; total counts all of that size in the language."""
     rows = labelled.filter("lang is not null and text is not null")
     sizes = rows.groupBy(F.col("lang").alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
@@ -56,10 +62,10 @@ def fit(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> DataFrame:
     size = F.explode(F.sequence(F.lit(1), F.lit(LONGEST_GRAM)))
     sized = words.select("lang", padded.alias("w"), "n", size.alias("size")).filter("length(w) >= size")
     gram = F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - F.col("size") + 1), lambda i: F.substring(F.col("w"), i, F.col("size"))))
-    grams = sized.select("lang", "size", "n", gram.alias("term")).groupBy("lang", "size", "term").agg(F.sum("n").alias("n"))
+    grams = sized.select("lang", "size", "n", gram.alias("term")).filter("term not in ('^', '$')").groupBy("lang", "size", "term").agg(F.sum("n").alias("n"))
     terms = words.select("lang", F.lit(0).alias("size"), "term", "n").unionByName(grams)
     total = terms.groupBy("lang", "size").agg(F.sum("n").alias("total"))
-    share = F.when(F.col("size") == 0, LEAST_WORD_SHARE).otherwise(LEAST_GRAM_SHARE)
+    share = F.when(F.col("size") == 0, word_share).otherwise(gram_share)
     return terms.join(F.broadcast(total), ["lang", "size"]).filter(F.col("n") >= share * F.col("total"))
 
 
@@ -104,7 +110,6 @@ class Model:
         owner = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
         coded = flat.dictionary_encode()
         score = np.empty((len(coded.dictionary), k))
-        letter = np.ones(len(score), bool)
         if len(self.cache) > CACHE:
             self.cache.clear()
         for i, w in enumerate(coded.dictionary.to_pylist()):
@@ -112,8 +117,6 @@ class Model:
             if s is None:
                 s = self.cache[w] = self.word(w) if w.strip("'") else np.full(k, np.nan)
             score[i] = s
-            if k and s[0] != s[0]:
-                letter[i] = any(map(str.isalpha, w))
         code = coded.indices.to_numpy(zero_copy_only=False)
         says = ~np.isnan(score[:, 0]) if k else np.zeros(len(score), bool)
         counted = np.bincount(owner, weights=says[code], minlength=n)
@@ -122,7 +125,7 @@ class Model:
             mean[:, j] = np.bincount(owner, weights=np.where(says, score[:, j], 0.0)[code], minlength=n) / np.maximum(counted, 1)
         if not k:
             return ["und"] * n, np.zeros(n)
-        lettered = np.bincount(owner, weights=letter[code], minlength=n) > 0
+        lettered = pc.match_substring_regex(lower, r"\pL").to_numpy(zero_copy_only=False)
         best = np.where(counted > 0, mean.argmax(1), self.default)
         share = 1 / np.exp(SHARPNESS * (mean - mean.max(1, keepdims=True))).sum(1)
         return [self.langs[b] if s else "und" for b, s in zip(best, lettered, strict=True)], np.where(lettered, share, 0.0)

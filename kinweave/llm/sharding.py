@@ -8,7 +8,9 @@ function of (seed, N): anyone can compute where a row went, or with
 
 The law is ``rows``: counts are at most one apart. Equal texts are not kept
 together. Null ids sort first; a null text counts as empty; rows that are equal
-in every column of the order are interchangeable. An empty table gives no rows.
+in every column of the order are interchangeable, repeated ids included. An empty
+table gives no rows. Where a table given to :func:`shard_rows` has a column called
+row_number, shard or slot, the added one is called ``shard_`` and that name.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import number_rows
+from kinweave.llm.common import free_names, number_rows
 
 ROUNDS = 8
 
@@ -88,11 +90,12 @@ def locate(places: DataFrame, n: int, shards: int, seed: int) -> DataFrame:
 
 def shard_rows(df: DataFrame, order: list[str], shards: int, seed: int = 20240117) -> DataFrame:
     """Adds row_number, shard and slot to every row of ``df``; ``order`` makes the global order."""
-    numbered, n = number_rows(df, *order, name="row_number")
-    placed = permute(numbered.withColumn("_place", F.col("row_number")), "_place", n, seed)
+    name = free_names(df, "shard_", "row_number", "shard", "slot")
+    numbered, n = number_rows(df, *order, name=name["row_number"])
+    placed = permute(numbered.withColumn("_kw_place", F.col(name["row_number"])), "_kw_place", n, seed)
     return placed.withColumns(
-        {"shard": (F.col("_place") % F.lit(shards)).cast("int"), "slot": F.expr(f"_place div {shards}L")}
-    ).drop("_place")
+        {name["shard"]: (F.col("_kw_place") % F.lit(shards)).cast("int"), name["slot"]: F.expr(f"_kw_place div {shards}L")}
+    ).drop("_kw_place")
 
 
 def shard_documents(documents: DataFrame, shards: int = 24, seed: int = 20240117) -> DataFrame:
