@@ -8,11 +8,13 @@ own), so memory follows the chunk size and not the Arrow batch.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 #: Bytes that separate words: space and 0x09-0x0D.
 SPACE = np.zeros(256, dtype=bool)
@@ -23,6 +25,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def tidy() -> None:
+    """Gives memory that a finished task has freed back to the system: workers live on beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits."""
     x = x.astype(np.uint64, copy=True)
@@ -45,7 +56,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """``base ** [0..n)`` modulo 2**64, kept between calls."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        p = np.full(1 << max(n, 2).bit_length(), base, dtype=np.uint64)
+        p = np.full(1 << max(n, 2).bit_length() if n < 1024 else n + n // 8, base, dtype=np.uint64)
         p[0] = 1
         have = _powers[base] = np.multiply.accumulate(p)
     return have[:n]

@@ -34,6 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinweave.llm.kernels import tidy
+
 SAMPLE_TEXTS = 2000
 LEAST_WORD_SHARE = 5e-6
 LEAST_GRAM_SHARE = 1e-5
@@ -41,7 +43,7 @@ LONGEST_GRAM = 5
 #: How much a gap in mean log score counts in the score.
 SHARPNESS = 4.0
 #: Words of a batch whose scores a worker keeps at most.
-CACHE = 400_000
+CACHE = 100_000
 
 
 def held_out(fold: int = 0, folds: int = 5) -> Column:
@@ -70,35 +72,40 @@ def fit(
 
 
 class Model:
-    """Log frequencies by language of words and n-grams, with add-one smoothing."""
+    """Log frequencies by language of words and n-grams, with add-one smoothing: one matrix a kind, rows found by term."""
 
     def __init__(self, rows: pa.Table):
         self.langs = sorted(set(rows["lang"].to_pylist()))
-        at = {k: i for i, k in enumerate(self.langs)}
-        self.tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST_GRAM + 1)]
-        total = np.ones((LONGEST_GRAM + 1, len(self.langs)))
-        for lang, size, term, n, all_n in zip(*(rows[c].to_pylist() for c in ("lang", "size", "term", "n", "total")), strict=True):
-            row = self.tables[size].setdefault(term, np.zeros(len(self.langs)))
-            row[at[lang]] += n
-            total[size, at[lang]] = all_n
-        for size, table in enumerate(self.tables):
-            base = np.log(total[size] + len(table) + 1)
-            for term, row in table.items():
-                table[term] = np.log(row + 1) - base
-        self.default = int(total[0].argmax()) if self.langs else 0
-        self.cache: dict[str, np.ndarray] = {}
+        k = len(self.langs)
+        lang = pc.index_in(rows["lang"], pa.array(self.langs, pa.string())).to_numpy()
+        sizes, n, all_n = (rows[c].to_numpy() for c in ("size", "n", "total"))
+        self.row: list[dict[str, int]] = []
+        self.score: list[np.ndarray] = []
+        words = np.ones(k)
+        for size in range(LONGEST_GRAM + 1):
+            own = np.flatnonzero(sizes == size)
+            terms = rows["term"].take(pa.array(own)).combine_chunks().dictionary_encode()
+            count, total = np.zeros((len(terms.dictionary), k)), np.ones(k)
+            np.add.at(count, (terms.indices.to_numpy(), lang[own]), n[own])
+            total[lang[own]] = all_n[own]
+            self.row.append({t: i for i, t in enumerate(terms.dictionary.to_pylist())})
+            self.score.append(np.log(count + 1) - np.log(total + len(count) + 1))
+            words = total if size == 0 else words
+        self.default = int(words.argmax()) if k else 0
+        self.cache: dict[str, int] = {}
+        self.cached = np.empty((CACHE, k))
 
     def word(self, word: str) -> np.ndarray:
         """Score of one word in every language; NaN where it says nothing."""
-        got = self.tables[0].get(word)
-        if got is not None:
-            return got
+        at = self.row[0].get(word)
+        if at is not None:
+            return self.score[0][at]
         padded = f"^{word}$"
         for size in range(min(LONGEST_GRAM, len(padded)), 0, -1):
-            table = self.tables[size]
-            known = [g for i in range(len(padded) - size + 1) if (g := table.get(padded[i : i + size])) is not None]
+            row = self.row[size]
+            known = [g for i in range(len(padded) - size + 1) if (g := row.get(padded[i : i + size])) is not None]
             if known:
-                return np.mean(known, axis=0)
+                return self.score[size][known].mean(0)
         return np.full(len(self.langs), np.nan)
 
     def texts(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -110,13 +117,14 @@ class Model:
         owner = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
         coded = flat.dictionary_encode()
         score = np.empty((len(coded.dictionary), k))
-        if len(self.cache) > CACHE:
-            self.cache.clear()
         for i, w in enumerate(coded.dictionary.to_pylist()):
-            s = self.cache.get(w)
-            if s is None:
-                s = self.cache[w] = self.word(w) if w.strip("'") else np.full(k, np.nan)
-            score[i] = s
+            at = self.cache.get(w)
+            if at is None:
+                if len(self.cache) == CACHE:
+                    self.cache.clear()
+                at = self.cache[w] = len(self.cache)
+                self.cached[at] = self.word(w) if w.strip("'") else np.nan
+            score[i] = self.cached[at]
         code = coded.indices.to_numpy(zero_copy_only=False)
         says = ~np.isnan(score[:, 0]) if k else np.zeros(len(score), bool)
         counted = np.bincount(owner, weights=says[code], minlength=n)
@@ -146,6 +154,8 @@ def predict(documents: DataFrame, model: DataFrame, carry: list[str], names: tup
                 lang, score = fitted.texts(part.column(len(carry)))
                 cols = [part.column(i) for i in range(len(carry))]
                 yield pa.record_batch([*cols, pa.array(lang, pa.string()), pa.array(score)], names=[*carry, *names])
+        del fitted
+        tidy()
 
     return documents.select(*carry, F.col("text").alias("_kw_text")).mapInArrow(run, schema)
 

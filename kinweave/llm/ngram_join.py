@@ -165,6 +165,7 @@ def blocks(documents: DataFrame, bits: int, many_from: int = MANY, block_rows: i
                         bucket=bucket[start], block=np.full(len(start), block), kind=np.full(len(start), KEYS, np.int32),
                         a=_cells(key.astype(np.uint32), start), b=_cells(np.minimum(count, many_from).astype(np.uint8), start), c=_cells(text[~apart], sent[start]),
                     )
+        K.tidy()
 
     return documents.select("doc_id", "text").mapInArrow(run, PARTS)
 
@@ -257,6 +258,7 @@ def fetch_sets(documents: DataFrame, nodes: DataFrame, owners: DataFrame) -> Dat
                 value, at = shingles(data, off)
                 packed = [value[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
                 yield pa.record_batch([pa.array(set_ids(value, at).view(np.int64)), pa.array(packed, pa.binary())], names=["node", "key"])
+        K.tidy()
 
     found = documents.select("doc_id", "text").mapInArrow(run, "node long, key binary")
     return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])

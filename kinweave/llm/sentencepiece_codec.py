@@ -38,14 +38,16 @@ from kinweave.llm.suffix_array import pack, suffix_array
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units a worker remembers before it starts afresh; two workers share an executor.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 #: Bytes of text taken at a time, and characters of one window of a longer text.
-BATCH_BYTES = 1 << 20
-WINDOW = 1 << 20
+BATCH_BYTES = 1 << 19
+WINDOW = 1 << 19
 #: Characters of new units that are indexed together: every one of them has several edges.
-INDEX_CHARS = 200_000
+INDEX_CHARS = 100_000
 #: Edges of one position over all units below which they are relaxed one by one.
 FEW = 100
+#: Pairs of pieces whose verdict is remembered.
+PAIRS = 1 << 17
 NEVER = np.int64(1) << 40
 #: What an unknown character costs in a unigram model, below its lowest score (fixed value of the model type).
 UNKNOWN_PENALTY = 10.0
@@ -303,7 +305,7 @@ class Codec:
                 end_a, a = rank_a, right[a]
             else:
                 end_b, b = rank_b, left[b]
-        if len(self.pair_fine) > REMEMBERED:
+        if len(self.pair_fine) > PAIRS:
             self.pair_fine.clear()
         self.pair_fine[key] = fine
         return fine
@@ -619,6 +621,7 @@ def encode(documents: DataFrame, carry: list[str], model: str = MODEL, digest: b
                 else:
                     cols.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids, pa.int32())))
                 yield pa.record_batch(cols, names=names)
+        K.tidy()
 
     return documents.select(*carry, "text").mapInArrow(run, T.StructType(fields))
 
