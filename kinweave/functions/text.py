@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StringType
 
 # Texts that mean null.
@@ -49,8 +50,9 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 
 def nfkc(c: Column | str) -> Column:
-    """Compatibility composition. Spark has none, so texts with other than ASCII take an Arrow UDF."""
-    return collapse_spaces(_nfkc(col(c)))
+    """Compatibility composition. Spark has none, so texts with other than ASCII take an Arrow UDF; for ASCII it sees null."""
+    plain = F.octet_length(col(c)) == F.char_length(col(c))
+    return collapse_spaces(F.coalesce(F.when(plain, col(c)), _nfkc(F.when(~plain, col(c)))))
 
 
 def date_ymd(c: Column | str) -> Column:
@@ -123,6 +125,17 @@ def rule_family(c: Column | str) -> Column:
     return F.when((F.size(parts) > 2) & (parts[0] == "rule"), parts[1]).otherwise("unknown")
 
 
+def phone_area(c: Column | str) -> Column:
+    """First three digits of a phone."""
+    return F.nullif(F.substring(F.regexp_replace(col(c), r"\D", ""), 1, 3), F.lit(""))
+
+
+def value_to_text(c: Column | str, kind: T.DataType) -> Column:
+    """Any value as text, null kept: nested ones as JSON, scalars as they print."""
+    nested = isinstance(kind, (T.ArrayType, T.MapType, T.StructType))
+    return F.to_json(col(c)) if nested else col(c).cast("string")
+
+
 def same_text(a: Column | str, b: Column | str) -> Column:
     """Equality in which null and empty are the same."""
     return F.coalesce(col(a), F.lit("")) == F.coalesce(col(b), F.lit(""))

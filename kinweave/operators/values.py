@@ -90,3 +90,31 @@ def wide_selected(rows: DataFrame, features: list[str]) -> DataFrame:
     counts = chosen.groupBy("profile_id", "f", "value_norm").agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy("profile_id", "f").agg(F.min(F.struct(-F.col("n"), F.col("value_norm").alias("v"))).alias("b"))
     return best.groupBy("profile_id").pivot("f", features).agg(F.first("b.v"))
+
+
+# Short names of expanded columns.
+FRIENDLY_NAMES = {
+    "np_device": "device", "np_osfamily": "osfamily", "np_browser": "browser", "np_geoname_id": "geoname_id", "np_subdivision_1_iso_code": "region_code",
+    "rt_country": "country", "rt_geoname": "city_name", "rt_geoid": "city_geoid", "rt_local_hour": "local_hour", "rt_population": "city_population", "rt_visit_count": "visit_count",
+}
+
+
+def with_friendly_names(df: DataFrame, names: dict[str, str] = FRIENDLY_NAMES) -> DataFrame:
+    """Adds a copy of each expanded column under its short name where that name is free."""
+    return df.withColumns({new: F.col(old) for old, new in names.items() if old in df.columns and new not in df.columns})
+
+
+def coerce_types(df: DataFrame, columns: list[str], least_share: float = 0.95) -> DataFrame:
+    """Text columns as long where at least ``least_share`` of the values are whole numbers' texts, as double where they are numbers'.
+
+    One aggregation over all columns decides; values that do not fit then become null. A column without values stays text.
+    """
+    number = {c: F.expr(f"try_cast(`{c}` AS double)") for c in columns}
+    seen = df.agg(*[
+        F.struct(
+            F.count(c).alias("n"), F.count(number[c]).alias("numbers"), F.coalesce(F.bool_and(number[c] == F.rint(number[c])), F.lit(False)).alias("whole")
+        ).alias(c)
+        for c in columns
+    ]).first()
+    fits = [c for c in columns if seen[c]["n"] and seen[c]["numbers"] >= least_share * seen[c]["n"]]
+    return df.withColumns({c: number[c].cast("long") if seen[c]["whole"] else number[c] for c in fits})

@@ -12,7 +12,7 @@ from kinweave.operators import blocking, candidates, embeddings, evaluate, evide
 from kinweave.operators import rules as R
 from kinweave.operators.scoring import LogisticScorer
 from kinweave.plans import oracles as O
-from kinweave.plans.api import Policy
+from kinweave.plans.api import Policy, resolve
 from kinweave.sources.tables import head_rows, raw_events, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,13 +45,8 @@ def sql_stamp(c: str) -> str:
     return f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}"
 
 
-#: Rules of the pair queries: one of each kind, selective enough for the largest fixture.
-PAIR_RULES = R.named([
-    "rule__context__np_geoname_id", "rule__identity_rescue__phone_digits", "rule__coverage_fallback__email_hash_bucket_1024",
-    "rule__behavior_context__np_geoname_id__fs_source_site_365", "rule__registration_time_window__np_geoname_id__registration_60m",
-    "rule__behavior_daypart__np_geoname_id__fs_source_site_365__rt_daypart__rt_weekpart",
-    "rule__coverage__np_geoname_id__np_device__np_osfamily", "rule__behavior_context_device__np_subdivision__fs_source_site_365__np_osfamily",
-])
+#: Rules of the pair queries: all that are recommended, as in the shipped selection.
+PAIR_RULES = R.recommended()
 FLAGSHIP_RULE = R.named(["rule__behavior_context__np_geoname_id__fs_source_site_365"])
 THRESHOLD, PER_PROFILE = 0.2, Policy.per_profile
 
@@ -859,6 +854,57 @@ def tree_scored_pairs(spark, d):
     return scorer.score(rows).select(*evidence.PAIR, "label", F.round("score", 6).alias("score"))
 
 
+# --- names and types of expanded columns
+
+_KEYS = {"np_device": "device", "np_geoname_id": "geoname_id"}
+_RT = {"rt_geoid": "geoid", "rt_local_hour": "local_hour", "rt_k": "k"}
+_RT_SQL = ", ".join(f"json_extract_string(realtime_features, '$.{k}') AS {c}" for c, k in _RT.items())
+
+
+def _expanded(spark, d) -> DataFrame:
+    raw = raw_events(spark, d).withColumn("_np", values.key_values("non_processing_features"))
+    own = [F.col("_np")[k].alias(c) for c, k in _KEYS.items()]
+    return raw.select("event_id", *own, *[F.get_json_object("realtime_features", f"$.{k}").alias(c) for c, k in _RT.items()], F.lit("kept").alias("device"))
+
+
+@register(O.query([O.RAW], f"""SELECT event_id, np_device, np_geoname_id, rt_geoid, rt_local_hour, rt_k, 'kept' AS device, np_geoname_id AS geoname_id, rt_geoid AS city_geoid, rt_local_hour AS local_hour
+FROM (SELECT event_id, substr(list_filter(non_processing_features, lambda t: t LIKE 'device:%')[1], 8) AS np_device, substr(list_filter(non_processing_features, lambda t: t LIKE 'geoname_id:%')[1], 12) AS np_geoname_id, {_RT_SQL} FROM raw)"""))
+def friendly_names(spark, d):
+    return values.with_friendly_names(_expanded(spark, d))
+
+
+@register(O.query([O.RAW], "SELECT event_id, rt_geoid::BIGINT AS rt_geoid, rt_local_hour::BIGINT AS rt_local_hour, rt_k::BIGINT AS rt_k, email AS email FROM (SELECT event_id, email, " + _RT_SQL + " FROM raw)"))
+def coerced_types(spark, d):
+    raw = raw_events(spark, d).select("event_id", "email", *[F.get_json_object("realtime_features", f"$.{k}").alias(c) for c, k in _RT.items()])
+    return values.coerce_types(raw, [*_RT, "email"]).select("event_id", *_RT, "email")
+
+
+@register(O.query([O.RAW], "SELECT event_id, to_json(fs_features)::VARCHAR AS fs_text, event_id::VARCHAR AS id_text, phone AS phone_text, nullif(substr(regexp_replace(phone, '[^0-9]', '', 'g'), 1, 3), '') AS phone_area FROM raw"))
+def values_as_text(spark, d):
+    raw = raw_events(spark, d)
+    text = lambda c: X.value_to_text(c, raw.schema[c].dataType)
+    return raw.select("event_id", text("fs_features").alias("fs_text"), text("event_id").alias("id_text"), text("phone").alias("phone_text"), X.phone_area("phone").alias("phone_area"))
+
+
+# --- the whole pipeline under the shipped policy
+
+
+def _resolved_whole(spark, d):
+    raw = raw_events(spark, d)
+    packet = F.col("profile_id").endswith("_0")
+    return resolve(raw.filter(packet), raw.filter(~packet), policy=Policy(overall=None))
+
+
+@register(O.query(CHAIN, "SELECT profile_id_l, profile_id_r, round(score, 6) AS score FROM scored"))
+def resolve_scored(spark, d):
+    return six(_resolved_whole(spark, d).scored.select(*evidence.PAIR, "score"), "score")
+
+
+@register(O.query([*CHAIN, O.mutual(Policy.threshold, Policy.top_k), O.COMPONENTS, O.ASSIGN], "SELECT * REPLACE (round(best_match_score, 6) AS best_match_score) FROM assignment"))
+def resolve_assignment(spark, d):
+    return six(_resolved_whole(spark, d).assignment, "best_match_score")
+
+
 # --- flagship
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import json
 from pathlib import Path
 
+import pyarrow.parquet as pq
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +55,11 @@ def read_batches(spark: SparkSession, folder: str, pattern: str = "batch_*.parqu
     return spark.read.option("pathGlobFilter", pattern).parquet(folder)
 
 
+def read_bytes(spark: SparkSession, data: bytes) -> DataFrame:
+    """A Parquet file that a request brought along, as a table; it is as large as the request, so the driver may hold it."""
+    return spark.createDataFrame(pq.read_table(io.BytesIO(data)))
+
+
 def load_json(path: str) -> dict:
     return json.loads(Path(path).read_text(encoding="utf-8"))
 

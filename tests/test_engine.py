@@ -213,3 +213,32 @@ def test_entry_and_registry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_expanded_columns(spark):
+    df = spark.createDataFrame([("1", "1.5", "x", None, "a"), ("2", "2", "7", None, "b")], "np_device string, rt_geoid string, rt_k string, rt_none string, device string")
+    named = values.with_friendly_names(df)
+    assert [(r.device, r.city_geoid) for r in named.collect()] == [("a", "1.5"), ("b", "2")]
+    typed = values.coerce_types(df, ["np_device", "rt_geoid", "rt_k", "rt_none"])
+    assert [t for _, t in typed.dtypes] == ["bigint", "double", "string", "string", "string"]
+    half = spark.createDataFrame([(str(i),) for i in range(39)] + [("?",)], "v string")
+    assert values.coerce_types(half, ["v"]).filter("v is null").count() == 1
+
+
+def test_uploaded_bytes(spark, tmp_path):
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "up"))
+    data = next((tmp_path / "up").glob("*.parquet")).read_bytes()
+    assert sorted(r.id for r in tables.read_bytes(spark, data).collect()) == list(range(5))
+
+
+def test_resolve_decides_for_every_packet_profile(spark):
+    from kinweave.plans.api import resolve
+    from kinweave.sources.tables import raw_events
+
+    raw = raw_events(spark, "/root/testdata/sf0.001")
+    packet, history = raw.filter("profile_id like '%0'"), raw.filter("profile_id not like '%0'")
+    got = resolve(packet, history)
+    decided = got.assignment.collect()
+    assert sorted(r.profile_id for r in decided) == sorted(r.profile_id for r in packet.select("profile_id").distinct().collect())
+    assert {r.decision for r in decided} <= {"new_client", "matched_existing", "ambiguous"}
+    assert all((r.predicted_entity_id is None) == (r.decision == "new_client") for r in decided)
