@@ -6,6 +6,12 @@
 4. mix: rows are repeated to the target weights of their sources and shuffled;
 5. tokens: texts become SentencePiece tokens, in the order of the mix.
 
+Of exact copies the largest id stays, of near copies the smallest: each stage keeps
+what its operator defines. Null and empty texts have no language and go first; rows
+without id stay as rows of their own; rows that repeat an id are judged by their
+texts; other columns, whatever their names, are carried to the mix. An empty table
+gives an empty one in every stage.
+
 The last stage returns doc_id, lang, source, n_tokens and ids. An id whose rate
 draws several copies comes that often.
 """
