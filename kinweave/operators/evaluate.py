@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.operators.blocking import positive_pairs
+from kinweave.operators.candidates import all_pairs
+from kinweave.operators.components import written
+from kinweave.operators.prefix import numbered, running_sums
+
 PAIR = ["profile_id_l", "profile_id_r"]
 
 
@@ -15,6 +20,13 @@ def ratios(df: DataFrame, tp="tp", fp="fp", fn="fn") -> DataFrame:
     return out.withColumn("f1", F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 6))
 
 
+def with_labels(pairs: DataFrame, core: DataFrame) -> DataFrame:
+    """Pairs with label 1 if both profiles belong to one entity, else 0."""
+    who = core.select("profile_id", "entity_id")
+    rows = pairs.join(who.toDF("profile_id_l", "_el"), "profile_id_l", "left").join(who.toDF("profile_id_r", "_er"), "profile_id_r", "left")
+    return rows.withColumn("label", F.coalesce(F.col("_el") == F.col("_er"), F.lit(False)).cast("int")).drop("_el", "_er")
+
+
 def confusion(scored: DataFrame, threshold: float, label: str = "label") -> DataFrame:
     hit, true = F.col("score") >= threshold, F.col(label) == 1
     counts = scored.agg(
@@ -117,13 +129,68 @@ def _by_score(scored: DataFrame, label: str) -> DataFrame:
 
 def roc_auc(scored: DataFrame, label: str = "label") -> DataFrame:
     """Probability that a positive outranks a negative, ties counting half."""
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = _by_score(scored, label).withColumn("wins", F.col("pos") * (below + F.col("neg") / 2))
+    rows = running_sums(_by_score(scored, label), ["score"], ["neg"])
+    rows = rows.withColumn("wins", F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2))
     return rows.agg(F.round(F.try_divide(F.sum("wins"), F.sum("pos") * F.sum("neg")), 6).alias("roc_auc"))
 
 
 def average_precision(scored: DataFrame, label: str = "label") -> DataFrame:
     """Sum over distinct scores of the step in recall times the precision there."""
-    upto = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = _by_score(scored, label).withColumns({"tp": F.sum("pos").over(upto), "n": F.sum(F.col("pos") + F.col("neg")).over(upto)})
-    return rows.agg(F.round(F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("n")), F.sum("pos")), 6).alias("average_precision"))
+    rows = running_sums(_by_score(scored, label).withColumn("_down", -F.col("score")), ["_down"], ["pos", "neg"])
+    at = F.col("pos_upto") / (F.col("pos_upto") + F.col("neg_upto"))
+    return rows.agg(F.round(F.try_divide(F.sum(F.col("pos") * at), F.sum("pos")), 6).alias("average_precision"))
+
+
+def assignment_points(quality: DataFrame) -> DataFrame:
+    """Shares of existing clients found and of new ones kept apart, in percent; where there are none, all of them are."""
+    share = lambda a, b: F.round(F.when(F.col(b) > 0, 100 * F.col(a) / F.col(b)).otherwise(100.0), 4)
+    return quality.select(
+        share("existing_entities_found", "existing_entities_total").alias("existing_found_pct"), share("new_entities_correct", "new_entities_total").alias("new_correct_pct")
+    )
+
+
+def guardrails(points: DataFrame, levels: tuple[int, ...] = (85, 90, 95)) -> DataFrame:
+    """The best point of a sweep for every guardrail: of those whose new_correct_pct reaches it, most existing_found_pct.
+
+    Ties go to the larger new_correct_pct, then to the smaller threshold, strategy
+    and k. A guardrail that no point reaches has no row. ``points`` is the grid.
+    """
+    named = F.explode(F.array(*[F.lit(x) for x in levels])).alias("guardrail_pct")
+    rows = points.select("*", named).filter(F.col("new_correct_pct") >= F.col("guardrail_pct"))
+    best = F.row_number().over(
+        Window.partitionBy("guardrail_pct").orderBy(F.desc("existing_found_pct"), F.desc("new_correct_pct"), "threshold", "strategy", "k")
+    )
+    return rows.withColumn("_best", best).filter("_best = 1").drop("_best")
+
+
+def sampled_negatives(core: DataFrame, n_draws: int, seed: int = 42) -> DataFrame:
+    """Pairs of profiles of different entities: draw k takes the two profiles that hashes of (seed, k) number.
+
+    Draws that meet the same pair, one profile twice or one entity are left out, so there are at most ``n_draws``.
+    """
+    ids = written(numbered(core.select("profile_id", "entity_id"), ["profile_id"], "at"))
+    n = ids.count()
+    draw = lambda side: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|{side}|"), "id").cast("binary")), 1, 8), 16, 10).cast("long") % max(n, 1)
+    draws = core.sparkSession.range(n_draws).withColumn("id", F.col("id").cast("string")).select(draw("l").alias("l"), draw("r").alias("r"))
+    a, b = ids.toDF("a", "ea", "l"), ids.toDF("b", "eb", "r")
+    met = draws.join(a, "l").join(b, "r").filter("a <> b and ea <> eb")
+    return met.select(F.least("a", "b").alias("profile_id_l"), F.greatest("a", "b").alias("profile_id_r")).distinct()
+
+
+def full_universe(profiles: DataFrame, features, scorer, threshold: float, most: int = 20_000) -> DataFrame:
+    """Confusion over every pair of a universe of profiles (profile_id, entity_id), one pass, nothing gathered.
+
+    ``features`` turns pairs into feature rows. All pairs are the point of this evaluation, so a universe of more than
+    ``most`` profiles is refused rather than cut.
+    """
+    pairs = with_labels(all_pairs(profiles.select("profile_id"), "profile_id", most), profiles)
+    scored = scorer.score(features(pairs))
+    return confusion(scored.join(pairs, PAIR), threshold)
+
+
+def sampled_universe(core: DataFrame, features, scorer, threshold: float, ratio: int = 10, most: int = 200_000, seed: int = 42) -> DataFrame:
+    """Confusion over all true pairs and a sample of others: ``ratio`` draws a true pair, ``most`` at most."""
+    true = written(positive_pairs(core).select(*PAIR))
+    others = sampled_negatives(core, min(ratio * true.count(), most), seed)
+    pairs = written(true.withColumn("label", F.lit(1)).unionByName(others.withColumn("label", F.lit(0))))
+    return confusion(scorer.score(features(pairs)).join(pairs, PAIR), threshold)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.operators import rules as R
+from kinweave.operators.mart import PATH_NUMBERS, PATH_SETS
 
 # The features whose values are compared.
 FS_KEYS = ("source_site_365", "source_site_30", "visited_30", "visited_365", "has_account", "has_click_365", "has_accept_365")
@@ -137,3 +138,21 @@ def embedding_pair_features(pairs: DataFrame, a: str = "a", b: str = "b") -> Dat
         "dot": product, "cosine": product / (norm(a) * norm(b) + 1e-9),
         "l2": F.sqrt(total(lambda x, y: (d(x) - d(y)) * (d(x) - d(y)))), "l1": total(lambda x, y: F.abs(d(x) - d(y))),
     })
+
+
+# Sets whose ratios are features beside same and common.
+RATIO_SETS = ("domain", "device", "city", "phone", "email")
+
+
+def path_pair_features(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Features of pairs of profile rows by name: nine sets (any, common), five ratios, and three of every number."""
+    rows = profile_pair_features(pairs, profiles, list(PATH_SETS), list(PATH_NUMBERS))
+    sets = [c for x in PATH_SETS for c in (F.col(f"{x}_same_any").alias(f"same_{x}_any"), F.col(f"{x}_common_cnt").alias(f"common_{x}_cnt"))]
+    ratios = [f"{x}_{k}" for x in RATIO_SETS for k in ("jaccard", "overlap")]
+    return rows.select(*PAIR, *sets, *ratios, *[f"{c}_{k}" for c in PATH_NUMBERS for k in ("diff", "min", "max")])
+
+
+def embedding_axis_features(pairs: DataFrame, dims: int, a: str = "a", b: str = "b") -> DataFrame:
+    """absdiff_i and mul_i of every axis of two vectors per row."""
+    x, y = (lambda i: F.get(a, F.lit(i)).cast("double")), (lambda i: F.get(b, F.lit(i)).cast("double"))
+    return pairs.withColumns({f"absdiff_{i}": F.abs(x(i) - y(i)) for i in range(dims)} | {f"mul_{i}": x(i) * y(i) for i in range(dims)})

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions import text as X
+from kinweave.operators import values
 
 
 def profile_core(raw: DataFrame) -> DataFrame:
@@ -72,3 +73,33 @@ def consistent_profiles(raw: DataFrame) -> DataFrame:
     """Rows of profiles that belong to one entity only."""
     mixed = raw.groupBy("profile_id").agg(F.countDistinct("entity_id").alias("n")).filter("n > 1")
     return raw.join(mixed, "profile_id", "left_anti")
+
+
+# The sets, and the means of numbers and flags, of a profile row.
+PATH_SETS = ("email", "phone", "domain", "device", "city", "region", "browser", "os", "sex")
+PATH_MEANS = ("local_hour", "visit_count", "city_population", "fs_is_phone", "fs_is_gmail", "fs_is_yandex", "fs_is_man", "fs_is_woman")
+PATH_NUMBERS = ("row_count", *[f"n_{k}" for k in PATH_SETS if k != "sex"], *[f"{k}_mean" for k in PATH_MEANS])
+
+
+def path_profile(raw: DataFrame) -> DataFrame:
+    """One row per profile: rows, most frequent entity (ties: the smallest), nine sets, their sizes and eight means.
+
+    Means of flags are the share of rows that carry the flag; numbers that do not parse count as missing.
+    """
+    rows = raw.select(
+        "profile_id", "entity_id", "email", "phone", "sex", X.email_domain_second("email").alias("domain"),
+        values.key_values("non_processing_features").alias("_np"), F.coalesce("fs_features", F.array()).alias("_fs"),
+        F.from_json("realtime_features", "map<string,string>").alias("_rt"),
+    )
+    number = lambda k: F.expr(f"try_cast(_rt['{k}'] AS double)")
+    rows = rows.select(
+        "profile_id", "entity_id", "email", "phone", "sex", "domain", F.col("_np")["device"].alias("device"), F.col("_rt")["geoname"].alias("city"),
+        F.col("_np")["subdivision_1_iso_code"].alias("region"), F.col("_np")["browser"].alias("browser"), F.col("_np")["osfamily"].alias("os"),
+        number("local_hour").alias("local_hour"), number("visit_count").alias("visit_count"), number("population").alias("city_population"),
+        *[F.coalesce(F.array_contains("_fs", k[3:]), F.lit(False)).cast("double").alias(k) for k in PATH_MEANS if k.startswith("fs_")],
+    )
+    out = rows.groupBy("profile_id").agg(
+        F.count(F.lit(1)).alias("row_count"), F.mode("entity_id", deterministic=True).alias("entity_id"),
+        *[value_set(F.col(k)).alias(f"{k}_set") for k in PATH_SETS], *[F.mean(k).alias(f"{k}_mean") for k in PATH_MEANS],
+    )
+    return out.withColumns({f"n_{k}": F.size(f"{k}_set") for k in PATH_SETS if k != "sex"})

@@ -32,9 +32,12 @@ class LogisticScorer:
     }
     BIAS = -5.0
 
+    def __init__(self, weights: dict[str, float] | None = None, bias: float | None = None):
+        self.weights, self.bias = weights or self.WEIGHTS, self.BIAS if bias is None else bias
+
     def score(self, df: DataFrame) -> DataFrame:
-        total = F.lit(self.BIAS)
-        for name, weight in self.WEIGHTS.items():
+        total = F.lit(self.bias)
+        for name, weight in self.weights.items():
             total = total + F.coalesce(F.col(name).cast("double"), F.lit(0.0)) * weight
         return df.withColumn("score", F.round(1 / (1 + F.exp(-total)), 9))
 

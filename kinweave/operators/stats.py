@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.operators.prefix import running_sums
+
 
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Null share and distinct count of columns, in one pass over the table."""
@@ -17,13 +19,39 @@ def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Statistic and degrees of freedom of independence of two columns."""
+    """Statistic and degrees of freedom of independence of two columns; two by two cells are corrected for continuity."""
     cells = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("o"))
     rows, cols = cells.groupBy("a").agg(F.sum("o").alias("ra")), cells.groupBy("b").agg(F.sum("o").alias("cb"))
     n = cells.agg(F.sum("o").alias("n"))
     full = rows.join(cols).join(n).join(cells, ["a", "b"], "left").withColumn("e", F.col("ra") * F.col("cb") / F.col("n"))
-    gap = F.coalesce("o", F.lit(0)) - F.col("e")
-    return full.agg(F.round(F.sum(gap * gap / F.col("e")), 6).alias("chi2"), ((F.countDistinct("a") - 1) * (F.countDistinct("b") - 1)).alias("dof"))
+    gap = F.abs(F.coalesce("o", F.lit(0)) - F.col("e"))
+    near = F.greatest(gap - 0.5, F.lit(0.0))
+    out = full.agg(
+        F.sum(gap * gap / F.col("e")).alias("plain"), F.sum(near * near / F.col("e")).alias("corrected"),
+        ((F.countDistinct("a") - 1) * (F.countDistinct("b") - 1)).alias("dof"),
+    )
+    return out.select(F.round(F.when(F.col("dof") == 1, F.col("corrected")).otherwise(F.col("plain")), 6).alias("chi2"), "dof")
+
+
+def chi_square_tail(x: float, dof: int) -> float:
+    """P(X >= x) of a chi-square distribution with a whole number of degrees of freedom, by its finite sum."""
+    if dof < 1:
+        return float("nan")
+    half = max(x, 0.0) / 2
+    if half == 0:
+        return 1.0
+    first, total = (1.0, 0.0) if dof % 2 == 0 else (1.5, math.erfc(math.sqrt(half)))
+    for j in range(dof // 2):
+        k = first + j - 1 if dof % 2 else j
+        total += math.exp(k * math.log(half) - half - math.lgamma(k + 1))
+    return min(1.0, total)
+
+
+def chi_square_test(df: DataFrame, a: str, b: str) -> DataFrame:
+    """chi_square with its p value; the one row of the result passes through the driver."""
+    row = chi_square(df, a, b).first()
+    p = None if row["chi2"] is None else round(chi_square_tail(row["chi2"], row["dof"]), 6)
+    return df.sparkSession.createDataFrame([(row["chi2"], row["dof"], p)], "chi2 double, dof long, p_value double")
 
 
 def ks_two_sample(df: DataFrame, value: str, group: str, first, second) -> DataFrame:
@@ -31,10 +59,9 @@ def ks_two_sample(df: DataFrame, value: str, group: str, first, second) -> DataF
     rows = df.filter(F.col(value).isNotNull() & F.col(group).isin(first, second)).groupBy(value).agg(
         F.count_if(F.col(group) == F.lit(first)).alias("x"), F.count_if(F.col(group) == F.lit(second)).alias("y")
     )
-    upto = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     total = rows.agg(F.sum("x").alias("nx"), F.sum("y").alias("ny"))
-    gaps = rows.withColumns({"cx": F.sum("x").over(upto), "cy": F.sum("y").over(upto)}).join(total)
-    return gaps.agg(F.round(F.max(F.abs(F.col("cx") / F.col("nx") - F.col("cy") / F.col("ny"))), 6).alias("ks"), F.max("nx").alias("n_first"), F.max("ny").alias("n_second"))
+    gaps = running_sums(rows, [value], ["x", "y"]).join(total)
+    return gaps.agg(F.round(F.max(F.abs(F.col("x_upto") / F.col("nx") - F.col("y_upto") / F.col("ny"))), 6).alias("ks"), F.max("nx").alias("n_first"), F.max("ny").alias("n_second"))
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:

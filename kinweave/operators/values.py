@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import text as X
 
-IDENTITY = ("email", "phone", "sex")
+IDENTITY = ("email", "phone", "first_name", "last_name", "birthday", "sex")
 
 
 def key_values(items: str):
@@ -48,7 +48,8 @@ def json_rows(df: DataFrame, column: str = "realtime_features", source: str = "r
 
 
 def identity_rows(df: DataFrame, columns: tuple[str, ...] = IDENTITY) -> DataFrame:
-    long = df.unpivot(["event_id", "profile_id", "created_at"], list(columns), "feature", "value_raw")
+    """One row per identity value; columns that the table lacks give none."""
+    long = df.unpivot(["event_id", "profile_id", "created_at"], [c for c in columns if c in df.columns], "feature", "value_raw")
     return long.filter("value_raw is not null").select(
         "event_id", "profile_id", "created_at", F.lit("identity").alias("source"), "feature", "value_raw"
     )

@@ -13,7 +13,7 @@ from kinweave.operators import rules as R
 from kinweave.operators.scoring import LogisticScorer
 from kinweave.plans import oracles as O
 from kinweave.plans.api import Policy, resolve
-from kinweave.sources.tables import head_rows, raw_events, table
+from kinweave.sources.tables import head_rows, raw_events, rich_events, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -336,17 +336,23 @@ def blocking_index_full(spark, d):
     return shown(blocking.blocking_index(profile_values(spark, d), R.recommended()))
 
 
+def rich_index(raw: DataFrame) -> DataFrame:
+    """The index of all rules, written once: reports read it several times."""
+    rows = graph.written(blocking.block_rows(graph.written(values.profile_values(raw)), R.catalogue()))
+    return graph.written(blocking.limited(rows))
+
+
 _SIZES = """sz AS (SELECT block_rule, block_family, count(*) AS n_blocks, max(n) AS max_block_size, sum(n * (n - 1) // 2)::BIGINT AS candidate_pairs
   FROM (SELECT block_rule, block_family, block_value, max(block_size) AS n FROM idx GROUP BY 1, 2, 3) GROUP BY 1, 2),
 cov AS (SELECT block_rule, count(DISTINCT profile_id) AS n_covered FROM idx GROUP BY 1),
 np AS (SELECT count(DISTINCT profile_id) AS n FROM raw)"""
 
 
-@register(O.query([*O.BASE, O.block_rows(R.catalogue()), O.limited(), _SIZES], "SELECT sz.*, n_covered, round(n_covered / np.n, 6) AS profile_coverage FROM sz JOIN cov USING (block_rule), np"))
+@register(O.query([*O.RICH_BASE, O.block_rows(R.catalogue()), O.limited(), _SIZES], "SELECT sz.*, n_covered, round(n_covered / np.n, 6) AS profile_coverage FROM sz JOIN cov USING (block_rule), np"))
 def rule_size_report(spark, d):
-    raw = raw_events(spark, d)
+    raw = rich_events(spark, d)
     n = raw.select("profile_id").distinct().count()
-    return blocking.rule_sizes(blocking.blocking_index(values.profile_values(raw), R.catalogue()), n).withColumn("profile_coverage", F.round("profile_coverage", 6))
+    return blocking.rule_sizes(rich_index(raw), n).withColumn("profile_coverage", F.round("profile_coverage", 6))
 
 
 _QUALITY = """pos AS (SELECT DISTINCT a.block_rule, p.entity_id, a.profile_id AS l, b.profile_id AS r FROM idx a JOIN idx b USING (block_rule, block_value)
@@ -359,12 +365,12 @@ qual AS (SELECT sz.block_rule, sz.block_family, n_blocks, max_block_size, candid
   (candidate_pairs <= 6000000 AND max_block_size <= 1000 AND block_family <> 'identity_rescue') OR sz.block_rule = 'rule__identity_rescue__phone_digits' AS is_recommended,
   CASE WHEN sz.block_rule = 'rule__identity_rescue__phone_digits' THEN 'rescue' WHEN candidate_pairs <= 6000000 AND max_block_size <= 1000 AND block_family <> 'identity_rescue' THEN 'limits' ELSE 'too_broad' END AS selection_reason
   FROM sz LEFT JOIN cap USING (block_rule), tot)"""
-_QUALITY_PARTS = [*O.BASE, O.block_rows(R.catalogue()), O.limited(), _SIZES, _QUALITY]
+_QUALITY_PARTS = [*O.RICH_BASE, O.block_rows(R.catalogue()), O.limited(), _SIZES, _QUALITY]
 
 
 def _quality(spark, d) -> DataFrame:
-    raw = raw_events(spark, d)
-    return blocking.rule_quality(blocking.blocking_index(values.profile_values(raw), R.catalogue()), mart.profile_core(raw))
+    raw = rich_events(spark, d)
+    return blocking.rule_quality(rich_index(raw), graph.written(mart.profile_core(raw)))
 
 
 @register(O.query(_QUALITY_PARTS, "SELECT * EXCLUDE (is_recommended, selection_reason) FROM qual"))
@@ -917,3 +923,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(O.query([*O.BASE, O.block_rows(FLAGSHIP_RULE), O.limited(), O.INTERNAL], "SELECT profile_id_l, profile_id_r, count(DISTINCT block_rule) AS n_block_rules, min(block_size) AS min_block_size, round(sum(block_weight), 6) AS sum_block_weight FROM internal GROUP BY 1, 2"))
 def flagship_evidence(spark, d):
     return flagship(spark, d)
+
+
+from kinweave.plans import studies  # noqa: E402, F401  registers its queries here

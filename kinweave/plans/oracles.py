@@ -5,7 +5,7 @@ from __future__ import annotations
 from kinweave.operators import evidence as E
 from kinweave.operators import rules as R
 from kinweave.operators.scoring import LogisticScorer
-from kinweave.sources.tables import RAW_COLUMNS
+from kinweave.sources.tables import RAW_COLUMNS, RICH_COLUMNS
 
 RAW = "raw AS (SELECT " + ", ".join(c.replace("{array}", "list_value") for c in RAW_COLUMNS) + " FROM events)"
 
@@ -48,6 +48,11 @@ pv AS (SELECT * FROM own
 
 BASE = [RAW, EV, CORE, PV]
 
+RICH = "raw AS (SELECT " + ", ".join(c.replace("{array}", "list_value") for c in RICH_COLUMNS) + " FROM events)"
+_SEX = "UNION ALL SELECT event_id, profile_id, created_at, 'identity', 'sex', sex FROM raw WHERE sex IS NOT NULL"
+RICH_EV = EV.replace(_SEX, "\n  ".join(_SEX.replace("sex", c) for c in ("sex", "first_name", "last_name", "birthday")))
+RICH_BASE = [RICH, RICH_EV, CORE, PV]
+
 
 def query(parts: list[str], body: str) -> str:
     """A body that begins with a comma goes on with further table expressions."""
