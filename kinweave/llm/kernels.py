@@ -101,6 +101,15 @@ def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix64((sums[end] - sums[start]) * powers(BASE_INV, len(sums))[start] + (end - start).astype(np.uint64))
 
 
+def gram_hashes(sums: np.ndarray, width: int) -> np.ndarray:
+    """span_hashes of every ``data[i : i + width]``, read in order instead of gathered."""
+    n = max(0, len(sums) - width)
+    x = sums[width:] - sums[:n]
+    x *= powers(BASE_INV, len(sums))[:n]
+    x += np.uint64(width)
+    return mix64(x)
+
+
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of a chunk, and how many words lie before each text."""
     n = len(data)

@@ -28,12 +28,13 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     bits = max(1, int(codes.max()).bit_length())
     h = max(1, min(depth, 62 // bits))
     key = pack(codes.astype(np.int64), h, bits)
-    sa = np.argsort(key)
+    small = np.int32 if n < 1 << 31 else np.int64  # half the memory to walk through
+    sa = np.argsort(key).astype(small)
     ordered = key[sa]
     new = np.ones(n, bool)
     new[1:] = ordered[1:] != ordered[:-1]
     # rank: number of the group's last place, so that settled ranks never change
-    rank = np.zeros(n + 1, np.int64)
+    rank = np.zeros(n + 1, small)
     starts = np.flatnonzero(new)
     sizes = np.diff(np.append(starts, n))
     rank[sa] = np.repeat(starts + sizes, sizes)
@@ -42,7 +43,7 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
         at = sa[open_places]
         group = rank[at]
         beyond = rank[np.minimum(at + h, n)]
-        order = np.argsort(group * (n + 1) + beyond)
+        order = np.argsort(group.astype(np.int64) * (n + 1) + beyond)
         at, group, beyond = at[order], group[order], beyond[order]
         sa[open_places] = at
         new = np.ones(len(at), bool)
@@ -52,7 +53,7 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
         rank[at] = np.repeat(open_places[starts] + sizes, sizes)
         open_places = open_places[np.repeat(sizes > 1, sizes)]
         h *= 2
-    return sa
+    return sa.astype(np.int64)
 
 
 def common_prefixes(codes: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
@@ -64,9 +65,12 @@ def common_prefixes(codes: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     that step leaves it, so matched codes are not compared again.
     """
     n = len(sa)
-    before = np.full(n, -1, np.int64)
+    small = np.int32 if n < 1 << 31 else np.int64
+    # one code past the end that no position has: two places that differ never both stand there
+    codes = np.append(codes, 0).astype(np.uint8 if n and codes.max() < 256 else np.int64)
+    before = np.full(n, -1, small)
     before[sa[1:]] = sa[:-1]
-    length = np.zeros(n, np.int64)
+    length = np.zeros(n, small)
     step = 1
     while step < most:
         step *= 2
@@ -86,14 +90,15 @@ def common_prefixes(codes: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
 
 
 def _extend(codes: np.ndarray, a: np.ndarray, b: np.ndarray, start: np.ndarray, most: int) -> np.ndarray:
-    n = len(codes)
+    """Length up to ``most`` of what the places ``a`` and ``b`` share, known to be ``start`` at least; no ``b`` (-1): 0."""
     out = np.where(b < 0, 0, start)
     live = np.flatnonzero((b >= 0) & (out < most))
+    i, j = a[live] + out[live], b[live] + out[live]
     while len(live):
-        i, j = a[live] + out[live], b[live] + out[live]
-        inside = (i < n) & (j < n)
-        same = inside & (codes[np.minimum(i, n - 1)] == codes[np.minimum(j, n - 1)])
-        live = live[same]
+        same = codes[i] == codes[j]
+        live, i, j = live[same], i[same] + 1, j[same] + 1
         out[live] += 1
-        live = live[out[live] < most]
+        on = out[live] < most
+        if not on.all():
+            live, i, j = live[on], i[on], j[on]
     return out

@@ -38,8 +38,11 @@ from kinweave.llm.suffix_array import common_prefixes, suffix_array
 
 WINDOW = 100
 GRAM = 32
-#: Distinct contexts of a shard.
+#: Distinct contexts of a shard; an anchor with more is dealt to several.
 SHARD = 20_000
+#: Distinct contexts sorted together where no anchor is that frequent, and bytes of text hashed together: what a core's cache holds.
+TOGETHER = 5_000
+CHUNK = 1 << 18
 NULL_ID = -(1 << 63)
 
 
@@ -49,26 +52,29 @@ def anchors(data: np.ndarray, off: np.ndarray):
     if n < WINDOW:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, z, z
-    at = np.arange(n - GRAM + 1)
-    grams = K.span_hashes(K.prefix_sums(data), at, at + GRAM)
+    grams = K.gram_hashes(K.prefix_sums(data), GRAM)
     bits = np.uint64(n.bit_length())
-    key = (grams >> bits << bits) | at.astype(np.uint64)  # smallest hash, then leftmost
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)  # smallest hash, then leftmost
     span, width = WINDOW - GRAM + 1, 1
-    least = key
     while width * 2 <= span:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     if width < span:
         least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
-    place = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    text = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(place)]
-    valid = np.arange(len(place)) + WINDOW <= off[1:][text]
+    # windows that would run past their text start in its last WINDOW - 1 bytes, or anywhere in a shorter text
+    edge = np.zeros(n + 1, np.int32)
+    np.add.at(edge, np.maximum(off[1:] - WINDOW + 1, off[:-1]), 1)
+    np.add.at(edge, off[1:], -1)
+    valid = np.cumsum(edge[: len(least)], dtype=np.int32) == 0
+    moved = least[1:] != least[:-1]
     first = valid.copy()
-    first[1:] &= ~valid[:-1] | (place[1:] != place[:-1])
+    first[1:] &= ~valid[:-1] | moved
     last = valid.copy()
-    last[:-1] &= ~valid[1:] | (place[1:] != place[:-1])
+    last[:-1] &= ~valid[1:] | moved
     lo, hi = np.flatnonzero(first), np.flatnonzero(last)
-    return grams[place[lo]], place[lo], lo, hi, text[lo]
+    place = (least[lo] & low).astype(np.int64)
+    return grams[place], place, lo, hi, np.searchsorted(off, lo, side="right") - 1
 
 
 def repeated_anchors(documents: DataFrame) -> DataFrame:
@@ -76,7 +82,7 @@ def repeated_anchors(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, data, off in K.chunks(b.column(0)):
+            for _, _, data, off in K.chunks(b.column(0), CHUNK):
                 value, count = np.unique(anchors(data, off)[0], return_counts=True)
                 yield pa.record_batch({"anchor": value.view(np.int64), "n": count})
 
@@ -92,7 +98,7 @@ def occurrences(documents: DataFrame, bitmap, with_bytes: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, data, off in K.chunks(b.column(1)):
+            for lo, hi, data, off in K.chunks(b.column(1), CHUNK):
                 hashed, place, first, last, text = anchors(data, off)
                 keep = np.flatnonzero(idfilter.member(bitmap.value, hashed)) if len(hashed) else np.zeros(0, np.int64)
                 hashed, place, first, last, text = (x[keep] for x in (hashed, place, first, last, text))
@@ -220,7 +226,7 @@ def solve(contexts: DataFrame, shard_size: int) -> DataFrame:
     sizes = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard_size)
     hot = materialise(sizes.select("anchor", F.ceil(F.col("n") / shard_size).cast("int").alias("parts")), "hot")
     total = contexts.count()
-    shards = max(1, -(-total // shard_size))
+    shards = max(1, -(-total // min(shard_size, TOGETHER)))
     if not hot.limit(1).count():
         cold, out = contexts, None
     else:
