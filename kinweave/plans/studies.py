@@ -96,7 +96,7 @@ def path_pair_features(spark, d):
     return C.six(rows, *ratios, *[f"{c}_{k}" for c in mart.PATH_NUMBERS for k in ("diff", "min", "max")])
 
 
-_DIMS = 8  # axes shown; every axis of the two vectors gets its columns, whatever the width
+_DIMS = 64  # width of the vectors of the table: every axis has its two columns
 
 
 @register("SELECT a.vec_id AS l, b.vec_id AS r, " + ", ".join(
