@@ -48,13 +48,17 @@ def pair_counts(events: DataFrame) -> DataFrame:
 
 def pair_evidence(events: DataFrame) -> DataFrame:
     """Counts, flags and shares of every pair; flags are 0 or 1."""
+    return pair_flags(pair_counts(events))
+
+
+def pair_flags(out: DataFrame) -> DataFrame:
+    """The flags and shares that follow from a pair's counts."""
     flag = lambda c: c.cast("int")
     families = F.col("families")
     has = lambda f: flag(F.array_contains(families, f))
     any_of = lambda fs: flag(F.arrays_overlap(families, F.array(*map(F.lit, fs))))
     within = lambda fs: F.size(F.array_except(families, F.array(*map(F.lit, fs)))) == 0
     share = lambda c: F.col(c) / F.greatest(F.col("hits"), F.lit(1))
-    out = pair_counts(events)
     out = out.withColumns({
         "n_block_rules": F.size("rules"), "n_block_families": F.size("families"), "rules_key": F.array_join("rules", "|"),
         "match_scopes": F.array_join("scopes", "|"), "pair_key": F.concat_ws("|", *PAIR), "hit_coverage_fallback": has("coverage_fallback"),
@@ -75,6 +79,13 @@ def pair_evidence(events: DataFrame) -> DataFrame:
     })
 
 
+def value_group():
+    """The group in which a value is compared: fs, geo, email, phone, or null."""
+    key = F.concat_ws("__", "source", "feature")
+    fs, geo = [f"fs__{f}" for f in FS_KEYS], [f"{s}__{f}" for s, f in GEO_KEYS]
+    return F.when(key.isin(*fs), "fs").when(key.isin(*geo), "geo").when(key == "identity__email", "email").when(key == "identity__phone", "phone")
+
+
 def pair_similarity(pairs: DataFrame, values: DataFrame) -> DataFrame:
     """Pooled Jaccard over behaviour and geography features and identity matches.
 
@@ -82,9 +93,7 @@ def pair_similarity(pairs: DataFrame, values: DataFrame) -> DataFrame:
     sizes of both sides, so no arrays are shuffled per pair.
     """
     key = F.concat_ws("__", "source", "feature")
-    fs, geo = [f"fs__{f}" for f in FS_KEYS], [f"{s}__{f}" for s, f in GEO_KEYS]
-    group = F.when(key.isin(*fs), "fs").when(key.isin(*geo), "geo").when(key == "identity__email", "email").when(key == "identity__phone", "phone")
-    rows = values.withColumns({"g": group, "key": key}).filter("g is not null").select("profile_id", "g", "key", "value_norm")
+    rows = values.withColumns({"g": value_group(), "key": key}).filter("g is not null").select("profile_id", "g", "key", "value_norm")
     sizes = rows.groupBy("profile_id").agg(*[F.count_if(F.col("g") == g).alias(f"n_{g}") for g in ("fs", "geo")])
     ids = pairs.select(*PAIR).distinct()
     left = ids.join(rows.withColumnRenamed("profile_id", "profile_id_l"), "profile_id_l")
@@ -92,14 +101,19 @@ def pair_similarity(pairs: DataFrame, values: DataFrame) -> DataFrame:
     shared = shared.groupBy(*PAIR).agg(*[F.count_if(F.col("g") == g).alias(f"i_{g}") for g in ("fs", "geo", "email", "phone")])
     side = lambda s: sizes.select(F.col("profile_id").alias(f"profile_id_{s}"), *[F.col(f"n_{g}").alias(f"{s}_{g}") for g in ("fs", "geo")])
     out = ids.join(shared, PAIR, "left").join(side("l"), "profile_id_l", "left").join(side("r"), "profile_id_r", "left").na.fill(0)
+    return out.select(*PAIR, *similarities())
+
+
+def similarities() -> list:
+    """Similarity from shared values (i_) and the values of both sides (l_, r_) by group."""
     def pooled(g):
         union = F.col(f"l_{g}") + F.col(f"r_{g}") - F.col(f"i_{g}")
         return F.when(union > 0, F.col(f"i_{g}") / union).otherwise(0.0)
     email, phone = (F.col("i_email") > 0).cast("int"), (F.col("i_phone") > 0).cast("int")
-    return out.select(
-        *PAIR, pooled("fs").alias("fs_total_jaccard"), pooled("geo").alias("geo_total_jaccard"), F.col("i_fs").alias("fs_shared_count"),
+    return [
+        pooled("fs").alias("fs_total_jaccard"), pooled("geo").alias("geo_total_jaccard"), F.col("i_fs").alias("fs_shared_count"),
         email.alias("identity_email_match"), phone.alias("identity_phone_match"), F.greatest(email, phone).alias("identity_strong_match"),
-    )
+    ]
 
 
 def features(events: DataFrame, values: DataFrame) -> DataFrame:
