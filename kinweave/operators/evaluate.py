@@ -177,17 +177,35 @@ def sampled_negatives(core: DataFrame, n_draws: int, seed: int = 42) -> DataFram
     return met.select(F.least("a", "b").alias("profile_id_l"), F.greatest("a", "b").alias("profile_id_r")).distinct()
 
 
-def full_universe(profiles: DataFrame, features, scorer, threshold: float, most: int = 20_000) -> DataFrame:
+def full_universe(profiles: DataFrame, features, scorer, threshold: float, most: int = 20_000, near: DataFrame | None = None) -> DataFrame:
     """Confusion over every pair of a universe of profiles (profile_id, entity_id), one pass, nothing gathered.
 
     ``features`` turns pairs into feature rows. All pairs are the point of this evaluation, so a universe of more than
-    ``most`` profiles is refused rather than cut.
+    ``most`` profiles is refused rather than cut. ``near`` are values (profile_id, feature, value) of which any pair that
+    reaches the threshold shares one: then only such pairs are scored, a universe of any size is taken, and the others,
+    which all stay below the threshold, are counted from the sizes of the universe and its entities.
     """
+    if near is not None:
+        return _by_shared_values(profiles, features, scorer, threshold, near)
     pairs = with_labels(all_pairs(profiles.select("profile_id"), "profile_id", most), profiles)
     scored = scorer.score(features(pairs))
     return confusion(scored.join(pairs, PAIR), threshold)
 
 
+def _by_shared_values(profiles: DataFrame, features, scorer, threshold: float, near: DataFrame) -> DataFrame:
+    rows = near.join(profiles.select("profile_id"), "profile_id", "left_semi").distinct()
+    key = ["feature", "value"]
+    a, b = (rows.select(*key, F.col("profile_id").alias(c)) for c in PAIR)
+    pairs = a.join(b, key).filter("profile_id_l < profile_id_r").select(*PAIR).distinct()
+    met = with_labels(scorer.score(features(pairs)), profiles).filter(F.col("score") >= threshold)
+    hits = met.agg(F.count_if(F.col("label") == 1).alias("tp"), F.count_if(F.col("label") == 0).alias("fp"))
+    k = profiles.groupBy("entity_id").agg(F.count(F.lit(1)).alias("k"))
+    known = F.when(F.col("entity_id").isNotNull(), F.expr("k * (k - 1) div 2")).otherwise(0)
+    sizes = k.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.coalesce(F.sum(known), F.lit(0)).alias("same"))
+    out = hits.join(sizes).withColumns({"fn": F.col("same") - F.col("tp"), "tn": F.expr("n * (n - 1) div 2 - same - fp")})
+    return ratios(out.select("tp", "fp", "fn", "tn"))
+
+
 def sampled_universe(core: DataFrame, features, scorer, threshold: float, ratio: int = 10, most: int = 200_000, seed: int = 42) -> DataFrame:
     """Confusion over all true pairs and a sample of others: ``ratio`` draws a true pair, ``most`` at most."""
     true = written(positive_pairs(core).select(*PAIR))

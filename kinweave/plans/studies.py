@@ -131,6 +131,28 @@ prs AS (SELECT *, 1 AS label FROM tru UNION ALL SELECT DISTINCT least(a.profile_
   WHERE a.profile_id <> b.profile_id AND a.entity_id <> b.entity_id)"""
 
 
+def _deciding(weights: dict[str, float], bias: float) -> list[str]:
+    """Sets without a common value in any of which a pair cannot reach a score of one half; the fewest, largest weights first.
+
+    Jaccard features are at most 1, and 0 without a common value; the other weights must not raise the score.
+    """
+    if any(w > 0 and not c.endswith("_jaccard") for c, w in weights.items()):
+        raise ValueError("only Jaccard features may raise the score")
+    left, out = sorted((w, c) for c, w in weights.items() if w > 0), []
+    while left and bias + sum(w for w, _ in left) > -1e-6:
+        out.append(left.pop()[1].removesuffix("_jaccard"))
+    if bias > -1e-6:
+        raise ValueError("every pair may reach the threshold")
+    return out
+
+
+def _shared(profiles: DataFrame) -> DataFrame:
+    """(profile_id, feature, value) of the sets one of which every pair above the threshold shares."""
+    sets = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}_set").alias("values")) for c in _deciding(PATH_WEIGHTS, PATH_BIAS)])
+    rows = profiles.select("profile_id", F.explode(sets).alias("s"))
+    return rows.select("profile_id", "s.feature", F.explode("s.values").alias("value"))
+
+
 def _featurised(spark, d):
     profiles = graph.written(mart.path_profile(rich_events(spark, d)))
     return profiles, lambda pairs: evidence.path_pair_features(pairs, profiles)
@@ -140,7 +162,7 @@ def _featurised(spark, d):
 def full_universe_eval(spark, d):
     profiles, features = _featurised(spark, d)
     universe = profiles.withColumn("split", training.md5_split()).filter("split = 'valid'").select("profile_id", "entity_id")
-    return evaluate.full_universe(universe, features, PATH_SCORER, PATH_THRESHOLD)
+    return evaluate.full_universe(universe, features, PATH_SCORER, PATH_THRESHOLD, near=_shared(profiles))
 
 
 @register(O.query([*PATH, _SAMPLE, _MEASURED], _RATIOS))

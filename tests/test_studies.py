@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinweave.operators import evaluate, evidence, mart, prefix, stats, training
 from kinweave.operators.scoring import LogisticScorer
+from kinweave.plans import studies
 
 
 def test_running_sums(spark):
@@ -111,3 +112,17 @@ def test_training_grid(spark):
     assert importance[0]["feature"] == "f" and importance[0]["importance"] > importance[1]["importance"]
     held = training.fit_with_holdout(df, ["f", "g"], maxIter=4, maxDepth=2).score(df)
     assert evaluate.average_precision(held).first()[0] > 0.9
+
+
+def test_full_universe_by_shared_values(spark):
+    """Pairs without a common value are counted, not listed; no universe is too large."""
+    rows = [(f"p{i:03d}", f"e{i // 3}" if i < 40 else None, [f"c{i % 7}"], [f"m{i // 2}"] if i % 3 else []) for i in range(60)]
+    profiles = spark.createDataFrame(rows, "profile_id string, entity_id string, city_set array<string>, email_set array<string>")
+    universe = profiles.select("profile_id", "entity_id")
+    features = lambda pairs: evidence.profile_pair_features(pairs, profiles, ["city", "email"], [])
+    scorer = LogisticScorer({"city_jaccard": 2.0, "email_jaccard": 3.0}, -1.0)
+    near = profiles.selectExpr("profile_id", "explode(map('city', city_set, 'email', email_set)) AS (feature, s)").selectExpr("profile_id", "feature", "explode(s) AS value")
+    want = evaluate.full_universe(universe, features, scorer, 0.5).first()
+    got = evaluate.full_universe(universe, features, scorer, 0.5, most=1, near=near).first()
+    assert want.asDict() == got.asDict() and want.tp and want.fp and want.fn and want.tn
+    assert studies._deciding(studies.PATH_WEIGHTS, studies.PATH_BIAS) == ["phone", "email", "city"]
