@@ -59,7 +59,8 @@ def test_no_packet_or_history(spark, values):
     assert paircount.counted_pairs(values.limit(0), RULES, F.lit(True), 300).count() == 0
 
 
-def test_query_joins_no_hits(spark):
+@pytest.mark.parametrize("name", ["history_cap_per_profile", "history_cap_global"])
+def test_query_joins_no_hits(spark, name):
     """Capped history lists no hit of a pair that is not kept: no join on a block's value."""
-    plan = catalog.queries()["history_cap_per_profile"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Join" in line and "block_value" in line for line in plan.splitlines())
