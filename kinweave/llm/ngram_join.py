@@ -350,14 +350,9 @@ def join(documents: DataFrame, many: int = MANY, block_rows: int = BLOCK_ROWS) -
     first_common = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= need
     apart = (F.col("a_node") < F.col("b_node")) & (F.col("a_comp") != F.col("b_comp"))
     listed = a.join(b, "token").filter(apart & _sizes_fit("a_n", "b_n") & first_common)
-    listed = materialise(listed.select("a_node", "b_node", "a_n", "b_n").distinct(), "listed")
-    # All prefix shingles a listed pair shares bound it once more.
-    met = listed.join(a.select("token", "a_node", "a_pos"), "a_node").join(b.select("token", "b_node", "b_pos"), ["b_node", "token"])
-    met = met.groupBy("a_node", "b_node", "a_n", "b_n").agg(F.count(F.lit(1)).alias("c"), F.max("a_pos").alias("i"), F.max("b_pos").alias("j"))
-    share = lambda c: F.floor((PERCENT * F.col(c) + 99) / 100) - 1  # noqa: E731  what lies behind a prefix
-    bound = F.least(F.least(F.col("a_n") - F.col("i"), F.col("b_n") - F.col("j")) - 1, F.greatest(share("a_n"), share("b_n")))
-    met = met.filter(F.col("c") + bound >= need).select(F.col("a_node").alias("hub"), F.col("b_node").alias("node"))
-    second = verify(met, documents, owners)
+    # Listed pairs go to the trees as they are: a row per prefix shingle that they share would outgrow them by the length of the texts.
+    listed = materialise(listed.select(F.col("a_node").alias("hub"), F.col("b_node").alias("node")).distinct(), "listed")
+    second = verify(listed, documents, owners)
 
     found = materialise(components(first.unionByName(second)), "components").withColumnRenamed("id", "node")
     named = rows.join(found, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")

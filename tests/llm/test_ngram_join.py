@@ -104,3 +104,22 @@ def test_filter_passes_members(spark):
     bitmap = idfilter.build(ids, 1 << 14)
     assert idfilter.member(bitmap, np.arange(1000) * 7919).all()
     assert idfilter.member(bitmap, np.arange(10**6, 10**6 + 5000) * 7919 + 1).mean() < 0.2
+
+
+def test_listed_pairs_carry_no_shingles(spark, monkeypatch):
+    """Long texts just below the threshold are listed in the second phase; nothing there has a row per pair and shared shingle."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(900)]
+    rows = [(i, edited(rng, base, rng.randint(14, 22))) for i in range(1, 25)]
+    want, _ = brute(rows)
+    plans, listed, verify = [], [], ngram_join.verify
+
+    def watched(pairs, *rest):
+        plans.append(pairs._jdf.queryExecution().optimizedPlan().toString())
+        listed.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "verify", watched)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(plans) == 2 and listed[1] > 0
+    assert "Join" not in plans[1]  # listed pairs don't meet the shingles again
