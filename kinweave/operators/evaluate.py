@@ -27,11 +27,11 @@ def with_labels(pairs: DataFrame, core: DataFrame) -> DataFrame:
     return rows.withColumn("label", F.coalesce(F.col("_el") == F.col("_er"), F.lit(False)).cast("int")).drop("_el", "_er")
 
 
-def confusion(scored: DataFrame, threshold: float, label: str = "label") -> DataFrame:
+def confusion(scored: DataFrame, threshold: float, label: str = "label", n: str | None = None) -> DataFrame:
+    """Counts and ratios at a threshold; ``n`` names the column with a row's number of pairs, else a row is one."""
     hit, true = F.col("score") >= threshold, F.col(label) == 1
-    counts = scored.agg(
-        F.count_if(hit & true).alias("tp"), F.count_if(hit & ~true).alias("fp"), F.count_if(~hit & true).alias("fn"), F.count_if(~hit & ~true).alias("tn")
-    )
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col(n) if n else F.lit(1))), F.lit(0).cast("long"))
+    counts = scored.agg(total(hit & true).alias("tp"), total(hit & ~true).alias("fp"), total(~hit & true).alias("fn"), total(~hit & ~true).alias("tn"))
     return ratios(counts)
 
 
@@ -122,21 +122,22 @@ def step_pr_auc(curve: DataFrame, by: str = "k") -> DataFrame:
     return last.withColumn("area", F.greatest(F.col("recall") - before, F.lit(0.0)) * F.col("precision")).groupBy(by).agg(F.round(F.sum("area"), 6).alias("pr_auc"))
 
 
-def _by_score(scored: DataFrame, label: str) -> DataFrame:
+def _by_score(scored: DataFrame, label: str, n: str | None) -> DataFrame:
     """One row per distinct score with positives and negatives: what ranking metrics need, far smaller than the pairs."""
-    return scored.groupBy("score").agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
+    n = F.col(n) if n else F.lit(1)
+    return scored.groupBy("score").agg(F.sum(n * F.col(label)).alias("pos"), F.sum(n * (1 - F.col(label))).alias("neg"))
 
 
-def roc_auc(scored: DataFrame, label: str = "label") -> DataFrame:
+def roc_auc(scored: DataFrame, label: str = "label", n: str | None = None) -> DataFrame:
     """Probability that a positive outranks a negative, ties counting half."""
-    rows = running_sums(_by_score(scored, label), ["score"], ["neg"])
+    rows = running_sums(_by_score(scored, label, n), ["score"], ["neg"])
     rows = rows.withColumn("wins", F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2))
     return rows.agg(F.round(F.try_divide(F.sum("wins"), F.sum("pos") * F.sum("neg")), 6).alias("roc_auc"))
 
 
-def average_precision(scored: DataFrame, label: str = "label") -> DataFrame:
+def average_precision(scored: DataFrame, label: str = "label", n: str | None = None) -> DataFrame:
     """Sum over distinct scores of the step in recall times the precision there."""
-    rows = running_sums(_by_score(scored, label).withColumn("_down", -F.col("score")), ["_down"], ["pos", "neg"])
+    rows = running_sums(_by_score(scored, label, n).withColumn("_down", -F.col("score")), ["_down"], ["pos", "neg"])
     at = F.col("pos_upto") / (F.col("pos_upto") + F.col("neg_upto"))
     return rows.agg(F.round(F.try_divide(F.sum(F.col("pos") * at), F.sum("pos")), 6).alias("average_precision"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Protocol
 
+import numpy as np
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -39,7 +40,18 @@ class LogisticScorer:
         total = F.lit(self.bias)
         for name, weight in self.weights.items():
             total = total + F.coalesce(F.col(name).cast("double"), F.lit(0.0)) * weight
-        return df.withColumn("score", F.round(1 / (1 + F.exp(-total)), 9))
+        return df.withColumn("score", self.probability(total))
+
+    @staticmethod
+    def probability(total):
+        return F.round(1 / (1 + F.exp(-total)), 9)
+
+    def totals(self, columns: dict[str, np.ndarray]) -> np.ndarray:
+        """What ``score`` sums up, by the same operations in the same order, so bit for bit."""
+        total = np.float64(self.bias)
+        for name, weight in self.weights.items():
+            total = total + columns[name].astype(np.float64) * weight
+        return total
 
 
 class TreeScorer:

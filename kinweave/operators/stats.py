@@ -7,7 +7,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.operators import paircount
 from kinweave.operators.prefix import running_sums
+from kinweave.operators.rules import Rule
 
 
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -82,21 +84,14 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(t - top) for t in terms))
 
 
-def rule_lift(index: DataFrame, core: DataFrame) -> DataFrame:
+def rule_lift(values: DataFrame, rules: list[Rule], core: DataFrame) -> DataFrame:
     """Per rule: distinct pairs offered, true pairs among them, lift over a random pair, and the 95th percentile of block size."""
-    key = ["block_rule", "block_value"]
-    a = index.select(*key, F.col("profile_id").alias("l"))
-    b = index.select(*key, F.col("profile_id").alias("r"))
-    pairs = a.join(b, key).filter("l < r").select("block_rule", "l", "r").distinct()
-    who = core.select("profile_id", "entity_id")
-    labelled = pairs.join(who.toDF("l", "el"), "l").join(who.toDF("r", "er"), "r")
-    counts = labelled.groupBy("block_rule").agg(F.count(F.lit(1)).alias("candidate_pairs"), F.count_if(F.col("el") == F.col("er")).alias("positive_pairs"))
+    counts = paircount.rule_pairs(values, rules, core.select("profile_id", "entity_id"))
     n = core.count()
     true = core.groupBy("entity_id").agg(F.count(F.lit(1)).alias("k")).agg(F.coalesce(F.sum(F.expr("k * (k - 1) div 2")), F.lit(0))).first()[0]
     base = true / max(n * (n - 1) // 2, 1)
-    blocks = index.groupBy(*key).agg(F.max("block_size").alias("s")).groupBy("block_rule").agg(F.round(F.percentile("s", 0.95), 6).alias("p95_block_size"))
     rate = F.col("positive_pairs") / F.col("candidate_pairs")
-    return counts.join(blocks, "block_rule").withColumns({
+    return counts.withColumns({
         "observed_rate": F.round(rate, 6), "lift": F.round(rate / F.lit(base) if base else F.lit(None).cast("double"), 4), "random_rate": F.lit(base),
     })
 

@@ -206,8 +206,7 @@ SELECT block_rule, candidate_pairs, positive_pairs, lift, p95_block_size, CASE W
   round(least({_TAIL}, 1), 4) AS p_value FROM l, base""")
 def rule_verdicts(spark, d):
     raw = raw_events(spark, d)
-    index = graph.written(blocking.blocking_index(values.profile_values(raw), C.PAIR_RULES))
-    rows = stats.rule_verdict(stats.rule_lift(index, graph.written(mart.profile_core(raw))))  # one row a rule
+    rows = stats.rule_verdict(stats.rule_lift(graph.written(values.profile_values(raw)), C.PAIR_RULES, graph.written(mart.profile_core(raw))))  # one row a rule
     cells = [(r["block_rule"], r["candidate_pairs"], r["positive_pairs"], r["lift"], r["p95_block_size"], r["verdict"], round(r["p_value"], 4)) for r in rows]
     return spark.createDataFrame(cells, "block_rule string, candidate_pairs long, positive_pairs long, lift double, p95_block_size double, verdict string, p_value double")
 

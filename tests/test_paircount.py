@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.operators import blocking, candidates, evidence, paircount
+from kinweave.operators import blocking, candidates, evaluate, evidence, graph, paircount
 from kinweave.operators import rules as R
+from kinweave.operators.scoring import LogisticScorer
 from kinweave.plans import catalog
 
 _NAMES = ("context__np_geoname_id", "identity_rescue__phone_digits", "behavior__fs_has_click_365", "behavior_context__np_geoname_id__fs_has_click_365",
@@ -64,3 +66,59 @@ def test_query_joins_no_hits(spark, name):
     """Capped history lists no hit of a pair that is not kept: no join on a block's value."""
     plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Join" in line and "block_value" in line for line in plan.splitlines())
+
+
+@pytest.fixture(scope="module")
+def scored(spark, values):
+    events, _ = by_hits(values, 3)
+    return LogisticScorer().score(evidence.features(events, values)).select(*evidence.PAIR, "score").cache()
+
+
+def _args(values):
+    return values, RULES, F.col("profile_id").endswith("_0"), 3, evidence.value_group(), LogisticScorer()
+
+
+@pytest.mark.parametrize("doubtful", [False, True])
+def test_scores_are_those_of_features(values, scored, monkeypatch, doubtful):
+    """All, those from a score on, and those that are best at either end; also where every score is left to Spark to round."""
+    monkeypatch.setattr(paircount, "LEAST_CHUNKS", 3)
+    monkeypatch.setattr(paircount, "BATCH", 7)
+    if doubtful:
+        rounded = paircount._rounded
+        monkeypatch.setattr(paircount, "_rounded", lambda x: (rounded(x)[0], np.arange(len(x)) % 2 == 0))
+    show = lambda df: sorted(map(tuple, df.select(*evidence.PAIR, "score").collect()))
+    want = show(scored)
+    assert len({x[2] for x in want}) > 20 and show(paircount.scored_pairs(*_args(values))) == want
+    least = sorted(x[2] for x in want)[len(want) // 2]
+    assert show(paircount.scored_pairs(*_args(values), least=least)) == [x for x in want if x[2] >= least]
+    for k in (1, 2):
+        best = paircount.scored_pairs(*_args(values), best=k).cache()
+        assert show(graph.mutual_top_k(best, least, k)) == show(graph.mutual_top_k(scored, least, k))
+        same = lambda df: sorted(map(tuple, graph.best_scores(df).collect()))
+        assert same(best) == same(scored)
+        if not doubtful:
+            assert best.count() <= 4 * k * 92
+
+
+def test_score_counts(spark, values, scored, monkeypatch):
+    monkeypatch.setattr(paircount, "LEAST_CHUNKS", 3)
+    owners = values.select("profile_id", F.regexp_extract("profile_id", "^(.*)_", 1).alias("entity_id")).distinct()
+    owners = owners.withColumn("entity_id", F.when(F.col("entity_id") != "P3", F.col("entity_id")))
+    want = evaluate.with_labels(scored, owners).groupBy("score", "label").count()
+    got = paircount.score_counts(*_args(values), owners)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    pairs = evaluate.with_labels(scored, owners)
+    for f in (evaluate.roc_auc, evaluate.average_precision, lambda x, n=None: evaluate.confusion(x, 0.2, n=n)):
+        assert f(got, n="n").collect() == f(pairs).collect()
+
+
+def test_rule_pairs(values, monkeypatch):
+    """Distinct pairs by rule without listing them: profiles that meet in several blocks count once, clients may be unknown."""
+    monkeypatch.setattr(paircount, "LEAST_CHUNKS", 3)
+    owners = values.select("profile_id", F.when(~F.col("profile_id").startswith("P3_"), F.regexp_extract("profile_id", "^(.*)_", 1)).alias("entity_id")).distinct()
+    hits = candidates.internal_pairs(blocking.blocking_index(values, RULES)).select("block_rule", *evidence.PAIR)
+    pairs = hits.distinct()
+    assert pairs.count() < hits.count()
+    want = evaluate.with_labels(pairs, owners).groupBy("block_rule").agg(F.count("label"), F.sum("label"))
+    got = paircount.rule_pairs(values, RULES, owners).select("block_rule", "candidate_pairs", "positive_pairs")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
