@@ -122,3 +122,22 @@ def test_rule_pairs(values, monkeypatch):
     want = evaluate.with_labels(pairs, owners).groupBy("block_rule").agg(F.count("label"), F.sum("label"))
     got = paircount.rule_pairs(values, RULES, owners).select("block_rule", "candidate_pairs", "positive_pairs")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("most", [1000, 5])
+def test_hits_from_blocks_are_those_of_the_join(values, monkeypatch, most):
+    """Every hit once, in blocks within the limits; packet members beyond a slice too."""
+    monkeypatch.setattr(blocking, "LARGEST_BLOCK", most)
+    packet, rows = F.col("profile_id").endswith("_0"), blocking.block_rows(values, RULES).cache()
+    show = lambda df: sorted(map(tuple, df.withColumn("block_weight", F.round("block_weight", 9)).collect()))
+    limited = lambda r: blocking.limited(r, 2, most)
+    want = show(candidates.internal_pairs(limited(rows)))
+    assert len(want) > 10 and show(candidates.internal_hits(values, RULES)) == want
+    want = show(candidates.history_pairs(rows.filter(packet), limited(rows.filter(~packet))))
+    assert len(want) > 10 and show(candidates.history_hits(values, RULES, packet)) == want
+
+
+@pytest.mark.parametrize("name", ["pairs_history"])
+def test_listed_hits_meet_in_no_join(spark, name):
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Join" in line for line in plan.splitlines())
