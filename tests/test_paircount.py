@@ -137,7 +137,7 @@ def test_hits_from_blocks_are_those_of_the_join(values, monkeypatch, most):
     assert len(want) > 10 and show(candidates.history_hits(values, RULES, packet)) == want
 
 
-@pytest.mark.parametrize("name", ["pairs_history"])
+@pytest.mark.parametrize("name", ["pairs_internal", "pairs_history"])
 def test_listed_hits_meet_in_no_join(spark, name):
     plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Join" in line for line in plan.splitlines())
