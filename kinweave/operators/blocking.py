@@ -24,17 +24,20 @@ def part_values(part: Part, values: Column) -> Column:
     return F.array_distinct(F.filter(values, lambda v: v.isNotNull() & (F.length(v) >= part.least)))
 
 
-def block_rows(values: DataFrame, rules: list[Rule]) -> DataFrame:
+def block_rows(values: DataFrame, rules: list[Rule], ranged: bool = False) -> DataFrame:
     """(profile_id, block_family, block_rule, block_value) of all rules, before size limits.
 
     A rule's values are the product of its parts' values, joined by '|'. The parts are filled up to the longest
     rule with one null, which concat_ws leaves out, and exploded one after the other: that is compiled code.
+    With ``ranged`` profiles are dealt by ranges of their ids, so that those of neighbouring ids meet in a task.
     """
     parts = {p: f"part{i}" for i, p in enumerate(dict.fromkeys(p for r in rules for p in r.parts))}
     keys = sorted({(p.source, p.feature) for p in parts})
     number = {f"{s}__{f}": i for i, (s, f) in enumerate(keys)}
     numbers = F.create_map(*[F.lit(x) for pair in number.items() for x in pair])
     needed = values.withColumn("k", F.concat_ws("__", "source", "feature")).filter(F.col("k").isin(*number)).withColumn("k", numbers[F.col("k")])
+    if ranged:
+        needed = needed.select("profile_id", "k", "value_norm").repartitionByRange("profile_id")
     wide = needed.groupBy("profile_id").agg(F.collect_list(F.struct("k", F.col("value_norm").alias("v"))).alias("own"))
     held = lambda p: F.transform(F.filter("own", lambda x: x["k"] == number[p.key]), lambda x: x["v"])
     wide = wide.select("profile_id", *[part_values(p, held(p)).alias(c) for p, c in parts.items()])

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +159,22 @@ def test_members_travel_as_steps(spark, values):
         want.setdefault((r.block_rule, r.block_value), []).append(at[r.profile_id])
     got = {(RULES[r].name, v): x for r, v, x in zip(index["rule"].to_pylist(), index["value"].to_pylist(), lists, strict=True)}
     assert all(sorted(want[k]) == x for k, x in got.items())
+
+
+def test_blocks_are_dealt_packed(spark, values, monkeypatch):
+    """A chunk gets its blocks in few compressed rows, with its own packet members of each and all others, and not a row a block."""
+    monkeypatch.setattr(paircount, "PACKED", 50)
+    index = paircount.blocks(values, RULES, paircount.numbers(values), F.col("profile_id").endswith("_0")).select("rule", "block", "mine", "p", "h").toArrow()
+    width, want = 23, {}
+    for r in index.to_pylist():
+        for c in {x // width for x in r["mine"]}:
+            want.setdefault(c, []).append((r["rule"], r["block"], [x for x in r["mine"] if x // width == c], r["p"], r["h"]))
+    got = {}
+    packs = [b for part in index.to_batches(max_chunksize=40) for b in paircount._packs([part], width)]
+    for b in packs:
+        got.setdefault(b["chunk"][0].as_py(), []).extend(tuple(r.values()) for r in paircount._unpacked(pa.Table.from_batches([b])).to_pylist())
+    assert len(want) > 2 and len(packs) < sum(map(len, want.values())) / 3
+    show = lambda rows: sorted((*r[:2], sorted(r[2]), *r[3:]) for r in rows)
+    assert {c: show(x) for c, x in got.items()} == {c: show(x) for c, x in want.items()}
+    many = np.repeat(np.arange(1, 200, dtype=np.int32), 50)
+    assert len(paircount._squeezed(many)) < len(many) and (paircount._unsqueezed([paircount._squeezed(many)], [len(many)], np.int32) == many).all()
