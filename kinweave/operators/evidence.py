@@ -51,13 +51,18 @@ def pair_evidence(events: DataFrame) -> DataFrame:
     return pair_flags(pair_counts(events))
 
 
+def family_flags() -> dict:
+    """The flags that say a pair's families are all of some."""
+    within = lambda fs: (F.size(F.array_except("families", F.array(*map(F.lit, fs)))) == 0).cast("int")
+    return {"only_weak_families": within(R.WEAK), "registration_time_window_only": within(("registration_time_window",))}
+
+
 def pair_flags(out: DataFrame) -> DataFrame:
     """The flags and shares that follow from a pair's counts."""
     flag = lambda c: c.cast("int")
     families = F.col("families")
     has = lambda f: flag(F.array_contains(families, f))
     any_of = lambda fs: flag(F.arrays_overlap(families, F.array(*map(F.lit, fs))))
-    within = lambda fs: F.size(F.array_except(families, F.array(*map(F.lit, fs)))) == 0
     share = lambda c: F.col(c) / F.greatest(F.col("hits"), F.lit(1))
     out = out.withColumns({
         "n_block_rules": F.size("rules"), "n_block_families": F.size("families"), "rules_key": F.array_join("rules", "|"),
@@ -68,8 +73,7 @@ def pair_flags(out: DataFrame) -> DataFrame:
         "postman_context_hit_share": share("n_postman_hits"), "has_strong_family": any_of(R.STRONG), "has_behavior": has("behavior"),
         "has_behavior_context": any_of(R.BEHAVIOR_CONTEXT), "has_postman_context": has("postman_context"),
         "has_time_aware_device_signal": has("behavior_daypart_device"), "has_registration_time_window": has("registration_time_window"),
-        "has_context": has("context"), "has_coverage_compound": has("coverage_compound"), "only_weak_families": flag(within(R.WEAK)),
-        "registration_time_window_only": flag(within(("registration_time_window",))),
+        "has_context": has("context"), "has_coverage_compound": has("coverage_compound"), **family_flags(),
         "registration_time_window_with_behavior": has("registration_time_window") * any_of(R.BEHAVIOR_EVIDENCE),
     })
     return out.withColumns({

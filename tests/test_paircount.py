@@ -178,3 +178,12 @@ def test_blocks_are_dealt_packed(spark, values, monkeypatch):
     assert {c: show(x) for c, x in got.items()} == {c: show(x) for c, x in want.items()}
     many = np.repeat(np.arange(1, 200, dtype=np.int32), 50)
     assert len(paircount._squeezed(many)) < len(many) and (paircount._unsqueezed([paircount._squeezed(many)], [len(many)], np.int32) == many).all()
+
+
+def test_shared_families_are_those_of_hits(values, monkeypatch):
+    """The families of pairs without their counts, where many history pairs tie at the limit."""
+    monkeypatch.setattr(paircount, "LEAST_CHUNKS", 3)
+    show = lambda df: sorted(map(tuple, df.select(*evidence.PAIR, "families").collect()))
+    for per_profile in (2, 5):
+        want = show(evidence.pair_counts(by_hits(values, per_profile)[0]))
+        assert len(want) > 100 and show(paircount.shared_families(values, RULES, F.col("profile_id").endswith("_0"), per_profile)) == want
