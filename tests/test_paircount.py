@@ -138,6 +138,21 @@ def test_hits_from_blocks_are_those_of_the_join(values, monkeypatch, most):
     assert len(want) > 10 and show(candidates.history_hits(values, RULES, packet)) == want
 
 
+def test_internal_hits_are_listed_in_pieces(values, monkeypatch):
+    """No row of the last stage gives more than LISTED hits, or those of one member, and every hit comes once."""
+    want = sorted(map(tuple, candidates.internal_hits(values, RULES).collect()))
+    for most in (1, 7, 10**6):
+        monkeypatch.setattr(candidates, "LISTED", most)
+        blocks = candidates._dealt(values, RULES, m=F.lit(True)).filter("size(m) > 1")
+        pieces = candidates._pieces(blocks, "m", F.size("m") - 1, "m")
+        assert pieces.filter((F.size("some") > 1) & (F.size("some") * F.size("m") > most)).count() == 0
+        assert pieces.filter("size(some) = 0").count() == 0 and (pieces.count() > blocks.count()) == (most < 10**6)
+        got = candidates.internal_hits(values, RULES)
+        assert len(want) > 10 and sorted(map(tuple, got.collect())) == want
+        listed = got._jdf.queryExecution().optimizedPlan().toString().split("explode(some")[1]
+        assert "transform(slice(" in listed.split("explode(")[0]  # ends the compiled stage before the explodes that list
+
+
 @pytest.mark.parametrize("name", ["pairs_internal", "pairs_history"])
 def test_listed_hits_meet_in_no_join(spark, name):
     plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
