@@ -153,6 +153,16 @@ def test_internal_hits_are_listed_in_pieces(values, monkeypatch):
         assert "transform(slice(" in listed.split("explode(")[0]  # ends the compiled stage before the explodes that list
 
 
+def test_history_hits_are_listed_in_pieces(values, monkeypatch):
+    """Packet members of a block are listed few at a time, in a stage that begins anew with every piece; every hit comes once."""
+    packet = F.col("profile_id").endswith("_0")
+    want = sorted(map(tuple, candidates.history_hits(values, RULES, packet).collect()))
+    monkeypatch.setattr(candidates, "LISTED", 3)
+    got = candidates.history_hits(values, RULES, packet)
+    assert len(want) > 10 and sorted(map(tuple, got.collect())) == want
+    assert "transform(slice(mine" in got._jdf.queryExecution().optimizedPlan().toString().split("explode(some")[1]
+
+
 @pytest.mark.parametrize("name", ["pairs_internal", "pairs_history"])
 def test_listed_hits_meet_in_no_join(spark, name):
     plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
